@@ -2,7 +2,7 @@
 
 Which 50-byte strings occur in several documents is found in four steps.
 
-1. Every 50-byte string has an anchor: of its 20-byte pieces the one with the least hash, the
+1. Every 50-byte string has an anchor: of its 24-byte pieces the one with the least hash, the
    first of equal ones. Equal strings have equal anchors at the same place. One scan finds the
    hash cells whose anchors occur in two documents; only their strings can repeat.
 2. A second scan sends the surroundings of such anchors to the task that has their hash. So
@@ -30,14 +30,17 @@ from pyspark.sql import functions as F
 
 from discloq.llm.batches import by_bytes
 from discloq.llm.common import join_hot, table
+from discloq.session import written
 
-LENGTH, PIECE = 50, 20
+LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE + 1
 #: The bits of the cells that are broadcast: one for every two bytes of text, at most 2**30
 #: (128 MB). A fuller filter sends more surroundings; results don't change.
 MOST_BITS = 30
-#: An anchor of more documents than the larger of these is hot: a number, a share.
-HOT_DOCS, HOT_PART = 1000, 500
+#: An anchor of more documents is hot. Below, a task holds some 35 bytes for each of them.
+HOT_DOCS = 100_000
+#: Bytes of surroundings that are sorted at a time.
+CHUNK = 1 << 20
 NO_DOC = (1 << 63) - 1
 U = np.uint64
 
@@ -45,21 +48,43 @@ U = np.uint64
 # --- suffix sorting ---------------------------------------------------------------------------
 
 
-def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """Dense ranks (from 1) of rows, compared column by column, and how many there are."""
-    top = [int(c.max()) + 1 if len(c) else 1 for c in columns]
-    key, size = columns[0].astype(np.int64), top[0]
-    for c, t in zip(columns[1:], top[1:]):
-        if size > (1 << 62) // t:
-            _, key = np.unique(key, return_inverse=True)
-            size = int(key.max()) + 1
-        key, size = key * t + c, size * t
-    order = np.argsort(key, kind="stable")
+def _bits(top: int) -> int:
+    return max(1, int(top).bit_length())
+
+
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Order of keys below 2**bits. Where key and place fit into one number, numbers are sorted."""
+    room = _bits(len(key))
+    if bits + room > 63:
+        return np.argsort(key, kind="stable")
+    packed = key << room
+    packed |= np.arange(len(key))
+    packed.sort()
+    packed &= (1 << room) - 1
+    return packed
+
+
+def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, int, np.ndarray]:
+    """Dense ranks (from 1) of rows compared column by column, how many, and their order."""
+    room, key, bits = _bits(len(columns[0])), columns[0], _bits(columns[0].max())
+    for k, c in enumerate(columns[1:]):
+        more = _bits(c.max())
+        if bits + more + room > 63 and k:
+            key, top, _ = _ranked(key, bits)
+            bits = _bits(top)
+        key, bits = key << more | c, bits + more
+    return _ranked(key, bits)
+
+
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, int, np.ndarray]:
+    order = _order(key, bits)
     ordered = key[order]
-    new = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)])
+    new = np.ones(len(key), np.int64)
+    new[1:] = ordered[1:] != ordered[:-1]
     out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(new)
-    return out, int(new.sum())
+    np.cumsum(new, out=new)
+    out[order] = new
+    return out, int(new[-1]), order
 
 
 def suffix_order(s: np.ndarray, depth: int = 1 << 60) -> np.ndarray:
@@ -73,24 +98,22 @@ def suffix_order(s: np.ndarray, depth: int = 1 << 60) -> np.ndarray:
     one = np.arange(1, n + (n % 3 == 1), 3)  # with one past the end, the blocks of names part
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    names, different = _names([t[sample], t[sample + 1], t[sample + 2]])
+    names, different, order12 = _names([t[sample], t[sample + 1], t[sample + 2]])
     if different < len(sample) and depth > 3:
         order12 = suffix_order(names, -(-depth // 3))
-    else:
-        order12 = np.argsort(names, kind="stable")
     rank = np.zeros(n + 3, np.int64)
     rank[sample[order12]] = np.arange(1, len(sample) + 1)
     sorted12 = sample[order12]
     sorted12 = sorted12[sorted12 < n]
     zero = np.arange(0, n, 3)
     size = n + 3
-    zero = zero[np.argsort(t[zero] * size + rank[zero + 1], kind="stable")]
+    zero = zero[_order(t[zero] * size + rank[zero + 1], _bits((int(t.max()) + 1) * size))]
     # how many sampled suffixes come before each other one: mod 1 by (number, rank of the next),
     # mod 2 by (two numbers, rank of the one after)
     ones, twos = sorted12[sorted12 % 3 == 1], sorted12[sorted12 % 3 == 2]
     before = np.searchsorted(np.sort(t[ones] * size + rank[ones + 1]), t[zero] * size + rank[zero + 1])
     both = np.concatenate([twos, zero])
-    pair, _ = _names([t[both], t[both + 1]])
+    pair, _, _ = _names([t[both], t[both + 1]])
     key = pair * size + rank[both + 2]
     before += np.searchsorted(np.sort(key[: len(twos)]), key[len(twos) :])
     before = np.maximum.accumulate(before) if len(before) else before  # differs only among suffixes that agree to the depth
@@ -136,33 +159,30 @@ def least_documents(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, do
 # --- anchors ----------------------------------------------------------------------------------
 
 
-def _hash20(a: np.ndarray) -> np.ndarray:
+def _hashes(a: np.ndarray) -> np.ndarray:
+    """A hash of the PIECE = 16 + 8 bytes from each place, by doubling."""
     h = (a.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)
     h ^= h >> U(29)
-    for span, k, r in ((1, 0xBF58476D1CE4E5B9, 31), (2, 0x94D049BB133111EB, 29), (4, 0xD6E8FEB86659FD93, 32), (8, 0xA0761D6478BD642F, 31)):
+    for span, k in ((1, 0xBF58476D1CE4E5B9), (2, 0x94D049BB133111EB), (4, 0xD6E8FEB86659FD93), (8, 0xA0761D6478BD642F)):
+        eight = h
         h = h[:-span] * U(k) + h[span:]
-        h ^= h >> U(r)
-    four = _hash4(a)
+        h ^= h >> U(31)
     n = len(a) - PIECE + 1
-    h = h[:n] * U(0xE7037ED1A0B428DB) + four[16 : 16 + n]
-    h ^= h >> U(30)
+    h = h[:n] * U(0xE7037ED1A0B428DB) + eight[16 : 16 + n]
+    h ^= h >> U(31)
     h *= U(0x8EBC6AF09C88C6E3)
-    return h ^ (h >> U(32))
-
-
-def _hash4(a: np.ndarray) -> np.ndarray:
-    x = a.astype(U)
-    x = x[:-1] | x[1:] << U(8)
-    return (x[:-2] | x[2:] << U(16)) * U(0x589965CC75374CC3)
+    h ^= h >> U(32)
+    return h
 
 
 def anchors(joined: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of documents laid end to end (``starts`` has their bounds): for each anchor its hash, its
-    place, the first of the strings that have it, how many they are, and its document."""
-    none = (np.zeros(0, U), *[np.zeros(0, np.int64)] * 4)
+    place, the first of the strings that have it, how many they are, and its document; then
+    the hashes of all places."""
+    none = (np.zeros(0, U), *[np.zeros(0, np.int64)] * 4, np.zeros(0, U))
     if len(joined) < LENGTH:
         return none
-    h = _hash20(joined)
+    h = _hashes(joined)
     low = U((1 << 24) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=U)  # batches are below 2**24 bytes, or one text
     k = 1
@@ -180,11 +200,11 @@ def anchors(joined: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     at = (least[window] & low).astype(np.int64)
     new = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))[0]
     place = at[new]
-    return h[place], place, window[new], np.diff(np.append(new, total)), doc[new]
+    return h[place], place, window[new], np.diff(np.append(new, total)), doc[new], h
 
 
 #: Longer texts are cut into overlapping parts: each string lies in one of them, with its anchor.
-PART = 1 << 22
+PART = 1 << 19
 
 
 def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -266,7 +286,7 @@ def repeated_cells(rows: DataFrame, bits: int, tasks: int, hot: int) -> tuple[np
 
         for batch in by_bytes(batches, "text", PART):
             for joined, starts, _, _ in parts_of(batch):
-                h, _, _, _, doc = anchors(joined, starts)
+                h, _, _, _, doc, _ = anchors(joined, starts)
                 cells = np.unique(doc.astype(U) << U(32) | h >> U(64 - bits)).astype(np.uint32)
                 held.append(cells)
                 size += len(cells)
@@ -297,19 +317,10 @@ def repeated_cells(rows: DataFrame, bits: int, tasks: int, hot: int) -> tuple[np
     return seen, np.sort(np.concatenate([np.zeros(0, np.uint32), *many]))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, 0x9FB21C651E98DF25, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
 def surroundings(joined, starts, seen, bits, hot, want_hot):
     """For each anchor of a repeated cell: hash, hash of the surroundings, document, first
     string, number of strings, and the surroundings' bounds."""
-    h, place, first, count, doc = anchors(joined, starts)
+    h, place, first, count, doc, hashes = anchors(joined, starts)
     cell = h >> U(64 - bits)
     keep = (seen[cell >> U(3)] >> (cell & U(7)).astype(np.uint8) & 1).astype(bool)
     if len(hot):
@@ -319,11 +330,11 @@ def surroundings(joined, starts, seen, bits, hot, want_hot):
         keep[:] = False
     h, place, first, count, doc = (x[keep] for x in (h, place, first, count, doc))
     end = first + count + LENGTH - 1
-    power = _powers(len(joined) + 1)
-    sums = np.concatenate([[U(0)], np.cumsum(_VALUES[joined] * power[:-1])])
-    # the same surroundings at another place have a sum that differs by a power only
-    code = (sums[end] - sums[first]) * power[len(joined) - first]
-    code = (code ^ (code >> U(29))) * U(0xBF58476D1CE4E5B9) + (place - first).astype(U) * U(64) + count.astype(U)
+    # at most 2 LENGTH - PIECE = 76 bytes: pieces at four places cover them
+    last, code = end - PIECE, place.astype(U) - first.astype(U) + (count.astype(U) << U(8))
+    for k in range(4):
+        code = (code ^ hashes[np.minimum(first + k * PIECE, last)]) * U(0x9FB21C651E98DF25)
+        code ^= code >> U(31)
     return h, code, doc, first, count, end
 
 
@@ -367,11 +378,16 @@ def repeated_strings(h, code, doc, count, has, data):
     out = np.repeat(least, width)
     if many.any():
         some = np.nonzero(many)[0]
-        text = _gather(data, start[some], start[some] + sizes[some])
-        places = np.concatenate([[0], np.cumsum(sizes[some])])[:-1]
-        found, _ = least_documents(text, places, width[some], least[some])
-        slots = np.repeat(first[some] - np.concatenate([[0], np.cumsum(width[some])])[:-1], width[some]) + np.arange(width[some].sum())
-        out[slots] = found
+        # anchors are independent: about CHUNK bytes of surroundings are sorted at a time
+        block = np.cumsum(sizes[some]) // CHUNK
+        whole = np.nonzero(np.diff(anchor[some]) != 0)[0] + 1
+        cuts = np.unique(np.concatenate([[0], whole[np.diff(block[whole], prepend=0) != 0], [len(some)]]))
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            i = some[a:z]
+            text = _gather(data, start[i], start[i] + sizes[i])
+            places = np.concatenate([[0], np.cumsum(sizes[i])])[:-1]
+            found, begins = least_documents(text, places, width[i], least[i])
+            out[np.repeat(first[i] - begins[:-1], width[i]) + np.arange(begins[-1])] = found
     return number, out, first
 
 
@@ -510,7 +526,7 @@ def _lose_rows(buckets: int):
 def hot_spans(rows: DataFrame, shared, bits: int, buckets: int, tasks: int) -> DataFrame:
     """What documents lose by hot anchors, as blobs of spans. Surroundings are reduced to the
     different ones before they meet."""
-    found = rows.mapInArrow(_scan(shared, bits, buckets, True, _emit_rows), HOT_ROW)
+    found = written(rows.mapInArrow(_scan(shared, bits, buckets, True, _emit_rows), HOT_ROW), "hot")
     key = F.xxhash64("anchor", "code")
     different = found.filter("body is not null").groupBy("anchor", "code").agg(F.min("doc").alias("doc"), F.first("count").alias("count"), F.first("body").alias("body"))
     solved = different.repartition(tasks, "anchor").mapInArrow(_solve_rows, "anchor long, code long, least array<long>").select(key.alias("key"), "least")
@@ -569,11 +585,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_docs: int = HOT
     """
     spark = docs.sparkSession
     rows = _rows(docs)
-    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     bits = min(MOST_BITS, max(20, int((size or 0) // 2).bit_length()))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * tasks
-    cells = repeated_cells(rows, bits, tasks, max(hot_docs, n // HOT_PART))
+    cells = repeated_cells(rows, bits, tasks, hot_docs)
     shared = spark.sparkContext.broadcast(cells)
     spans = rows.mapInArrow(_scan(shared, bits, buckets, False, _emit_packed), BLOB).repartition(tasks, "bucket").mapInArrow(_solve_packed(buckets), BLOB)
     if len(cells[1]):
