@@ -41,7 +41,8 @@ MOST_BITS = 30
 HOT_DOCS = 100_000
 #: Bytes of surroundings that are sorted at a time.
 CHUNK = 1 << 20
-NO_DOC = (1 << 63) - 1
+#: Where the numbers begin that order rows without a doc_id, by a hash, after all others.
+NO_DOC = 1 << 62
 U = np.uint64
 
 
@@ -200,7 +201,8 @@ def anchors(joined: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     at = (least[window] & low).astype(np.int64)
     new = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))[0]
     place = at[new]
-    return h[place], place, window[new], np.diff(np.append(new, total)), doc[new], h
+    # least hashes are small: mixed anew, so that cells and ranges fill evenly
+    return (h[place] ^ (h[place] >> U(31))) * U(0xD1342543DE82EF95), place, window[new], np.diff(np.append(new, total)), doc[new], h
 
 
 #: Longer texts are cut into overlapping parts: each string lies in one of them, with its anchor.
@@ -235,8 +237,9 @@ def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 def _rows(docs: DataFrame) -> DataFrame:
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), F.xxhash64("doc_id", "text").alias("row"), body.alias("text"))
+    row = F.xxhash64("doc_id", "text")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC) + F.pmod(row, F.lit(NO_DOC)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), row.bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), body.alias("text"))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -344,7 +347,7 @@ def _gather(joined: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarra
     return joined[np.repeat(first - begin[:-1], sizes) + np.arange(begin[-1])]
 
 
-TYPES = ("<u8", "<u8", "<i8", "<i8", "<i8", "u1", "u1", "u1")
+TYPES = ("<u4", "<u4", "<u2", "<i8", "<u4", "<i8", "u1", "u1", "u1")
 
 
 def _mine(held: list[tuple]) -> list[np.ndarray]:
@@ -392,7 +395,7 @@ def repeated_strings(h, code, doc, count, has, data):
 
 
 def _spans(number, doc, row, start, count, least, first):
-    """(row, from, to) of what documents lose to smaller ones."""
+    """(document, row, from, to) of what documents lose to smaller ones."""
     width = count.astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(width)])
     slots = np.repeat(first[number] - begin[:-1], width) + np.arange(begin[-1])
@@ -403,15 +406,12 @@ def _spans(number, doc, row, start, count, least, first):
     last = np.concatenate([edge[1:], [True]]) if len(owner) else edge
     off = np.nonzero(lost & (last | ~np.concatenate([lost[1:], [False]])))[0]
     who = owner[on]
-    return row[who], start[who] + on - begin[who], start[who] + off - begin[who] + LENGTH
+    return doc[who], row[who], start[who] + on - begin[who], start[who] + off - begin[who] + LENGTH
 
 
-def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys.astype(U) * U(0x9E3779B97F4A7C15) >> U(40)) % U(buckets)).astype(np.int32)
-
-
-def _span_blobs(row, a, z, buckets):
-    out = [(b, _packed(*x)) for b, x in _split(np.mod(row, buckets), row.astype("<i8"), a.astype("<i8"), z.astype("<i8"))]
+def _span_blobs(doc, row, a, z, buckets):
+    order = np.lexsort((a, row, doc))
+    out = [(b, _packed(*x)) for b, x in _split(np.mod(doc[order], buckets), doc[order].astype("<i8"), row[order].astype("<u4"), a[order].astype("<i8"), (z - a)[order].astype("<i8"))]
     return _blobs([b for b, _ in out], [x for _, x in out])
 
 
@@ -427,7 +427,7 @@ def _scan(shared, bits: int, buckets: int, want_hot: bool, emit):
                     who = owner[doc]
                     held.append((h, code, docs[who], rows[who], first - starts[doc] + offset[doc], count, _gather(joined, first, end), end - first))
                     size += len(h)
-            if size >= FLUSH // 4:
+            if size >= FLUSH // 2:
                 yield emit(_mine(held), buckets)
                 held, size = [], 0
         if size:
@@ -437,12 +437,16 @@ def _scan(shared, bits: int, buckets: int, want_hot: bool, emit):
 
 
 def _emit_packed(cols, buckets):
+    """Buckets are ranges of the anchor's first 32 bits, of which rows hold the steps. 48 bits of
+    the code do. Anchors that agree in 32 bits are sorted together, which changes nothing."""
     h, code, doc, row, start, count, first, begin, sizes, data = cols
+    short = h >> U(32)
     out = []
-    for b, (i,) in _split(_bucket_of(h, buckets), np.arange(len(h))):
+    for b, (i,) in _split((short * U(buckets) >> U(32)).astype(np.int32), np.arange(len(h))):
         with_bytes = i[first[i]]
         text = _gather(data, begin[with_bytes], begin[with_bytes] + sizes[with_bytes])
-        out.append((b, _packed(h[i].astype("<u8"), code[i].astype("<u8"), doc[i].astype("<i8"), row[i].astype("<i8"), start[i].astype("<i8"), count[i], first[i].astype(np.uint8), text)))
+        steps = np.diff(short[i], prepend=U(0)).astype("<u4")
+        out.append((b, _packed(steps, (code[i] >> U(32)).astype("<u4"), (code[i] >> U(16) & U(0xFFFF)).astype("<u2"), doc[i].astype("<i8"), row[i].astype("<u4"), start[i].astype("<i8"), count[i], first[i].astype(np.uint8), text)))
     return _blobs([b for b, _ in out], [x for _, x in out])
 
 
@@ -461,8 +465,9 @@ def _solve_packed(buckets: int):
 
 def _solved(parts: list[list[np.ndarray]]):
     """What documents lose by the rows of one bucket; bytes are put in the order of rows first."""
-    h, code, doc, row, start, count, has = (np.concatenate([p[k] for p in parts]) for k in range(7))
-    data = np.concatenate([p[7] for p in parts])
+    h = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts]).astype(U)
+    code = np.concatenate([p[1].astype(U) << U(16) | p[2].astype(U) for p in parts])
+    doc, row, start, count, has, data = (np.concatenate([p[k] for p in parts]) for k in range(3, 9))
     has = has.astype(bool)
     sizes = np.where(has, count.astype(np.int64) + LENGTH - 1, 0)
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -474,7 +479,7 @@ def _solved(parts: list[list[np.ndarray]]):
     several = np.repeat(np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads), n)
     order = order[several]
     if not len(order):
-        return [np.zeros(0, np.int64)] * 3
+        return [np.zeros(0, np.int64)] * 4
     keep = has[order]
     text = _gather(data, begin[order][keep], (begin + sizes)[order][keep])
     number, least, first = repeated_strings(h[order], code[order], doc[order], count[order], keep, text)
@@ -544,30 +549,31 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans: list[list[np.ndarray]] = [[], [], []]
+        spans: list[list[np.ndarray]] = [[], [], [], []]
         ready = None
         for batch in by_bytes(batches, "text", PART):
             out = []
-            for doc, row, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "blob"))):
+            for doc_id, doc, row, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc", "row", "text", "blob"))):
                 if blob is not None:
-                    for s, x in zip(spans, _unpacked(blob, "<i8", "<i8", "<i8")):
+                    for s, x in zip(spans, _unpacked(blob, "<i8", "<u4", "<i8", "<i8")):
                         s.append(x)
                     continue
                 if ready is None:
-                    who, a, z = (np.concatenate([np.zeros(0, np.int64), *s]) for s in spans)
-                    order = np.lexsort((a, who))
-                    ready = who[order], a[order], z[order]
-                    spans = [[], [], []]
-                lo, hi = np.searchsorted(ready[0], row, "left"), np.searchsorted(ready[0], row, "right")
+                    who, rows, a, n = (np.concatenate([np.zeros(0, np.int64), *s]) for s in spans)
+                    order = np.lexsort((a, rows, who))
+                    ready = who[order], rows[order], a[order], (a + n)[order]
+                    spans = [[], [], [], []]
+                lo, hi = (int(np.searchsorted(ready[0], doc, side)) for side in ("left", "right"))
+                lo, hi = (lo + int(np.searchsorted(ready[1][lo:hi], row, side)) for side in ("left", "right"))
                 removed = runs = 0
                 kept = text
                 if hi > lo:
-                    a, z = ready[1][lo:hi], np.maximum.accumulate(ready[2][lo:hi])
+                    a, z = ready[2][lo:hi], np.maximum.accumulate(ready[3][lo:hi])
                     new = np.concatenate([[True], a[1:] > z[:-1]])
                     begin, end = a[new], np.append(z[np.nonzero(new)[0][1:] - 1], z[-1])
                     removed, runs = int((end - begin).sum()), len(begin)
                     kept = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
-                out.append((doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
+                out.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if keep_text else []))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
@@ -580,8 +586,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_docs: int = HOT
     kept, the remaining bytes, which may no longer be whole UTF-8).
 
     A byte goes if a LENGTH-byte string over it also occurs in a document with a smaller doc_id.
-    Null is empty. A null doc_id counts as larger than all others; rows with equal doc_ids don't
-    take from each other. Texts of any length are scanned in overlapping parts.
+    Null is empty. Rows
+    with equal doc_ids don't take from each other. Rows without a doc_id come after all others, in
+    the order of a hash. Texts of any length are scanned in overlapping parts.
     """
     spark = docs.sparkSession
     rows = _rows(docs)
@@ -595,9 +602,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_docs: int = HOT
     if len(cells[1]):
         spans = spans.unionByName(hot_spans(rows, shared, bits, buckets, tasks))
     none = lambda t: F.lit(None).cast(t)
-    place = F.pmod("row", F.lit(buckets)).cast("int")
-    texts = rows.select(place.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "row", "text", none("binary").alias("blob"))
-    parts = spans.select("bucket", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("long").alias("row"), none("binary").alias("text"), "blob")
+    place = F.pmod("doc", F.lit(buckets)).cast("int")
+    texts = rows.select(place.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "doc", "row", "text", none("binary").alias("blob"))
+    parts = spans.select("bucket", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("long").alias("doc"), none("long").alias("row"), none("binary").alias("text"), "blob")
     laid = texts.unionByName(parts).repartition(tasks, "bucket").sortWithinPartitions("kind")
     return laid.mapInArrow(_cut(keep_text), RESULT + (", kept binary" if keep_text else ""))
 
