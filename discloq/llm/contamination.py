@@ -9,14 +9,14 @@ some band holds them all; bands that meet the bound are kept and aligned within
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import by_bytes
+from discloq.llm.batches import by_bytes, texts_of
 from discloq.llm.common import table
 
 Q, EDIT_SHARE, SHORTEST = 12, 0.05, 24
@@ -28,17 +28,29 @@ _TO[[b for b in range(128) if not chr(b).isalnum()]] = 32
 _TO[65:91] += 32
 
 
-def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes in which each run of ASCII characters other than letters and digits is
-    one space, and the byte of the text that each comes from."""
-    raw = text.encode("utf-8", "replace")
-    low = text.lower().encode("utf-8", "replace")
-    a = _TO[np.frombuffer(low if len(low) == len(raw) else raw, np.uint8)]
-    space = a == 32
-    keep = ~space
-    keep[1:] |= ~space[:-1]
+#: Stands between texts that are scanned together; no UTF-8 has it.
+_BETWEEN = 0xFF
+
+
+def lowered(text: str) -> bytes:
+    """UTF-8, lower-cased; where that would change its length, A-Z only."""
+    raw, low = text.encode("utf-8", "replace"), text.lower().encode("utf-8", "replace")
+    return low if len(low) == len(raw) else raw.lower()
+
+
+def squeezed(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes in which each run of ASCII characters other than letters and digits is one space,
+    and the place that each comes from."""
+    a = _TO[np.frombuffer(low, np.uint8)]
+    keep = a != 32
+    keep[1:] |= keep[:-1].copy()
     at = np.nonzero(keep)[0]
-    a = a[at]
+    return a[at], at
+
+
+def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """``squeezed`` without a space at either end."""
+    a, at = squeezed(lowered(text))
     lo = int(len(a) > 0 and a[0] == 32)
     hi = len(a) - int(len(a) > lo and a[-1] == 32)
     return a[lo:hi], at[lo:hi]
@@ -92,6 +104,7 @@ class Index:
     owner: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    known: dict = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Index:
@@ -105,6 +118,35 @@ class Index:
         bitmap[h >> np.uint64(64 - BITS)] = True
         return cls([i for i, _ in kept], [a for _, a in kept], h[order], owner[order], place[order], bitmap)
 
+    def bounds(self, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each item: its size, the edits allowed, the q-grams that must be shared."""
+        if share not in self.known:
+            sizes = np.array([len(a) for a in self.items])
+            budgets = np.array([budget(int(m), share) for m in sizes])
+            self.known[share] = sizes, budgets, sizes + 1 - Q * (budgets + 1)
+        return self.known[share]
+
+    def scan(self, texts: list[str], share: float = EDIT_SHARE) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, edits, first byte, byte after the last) of the best matches in each text.
+        Texts are hashed together; only those with as many shared q-grams as the least bound
+        are looked at one by one."""
+        if not self.items:
+            return []
+        a, at = squeezed(bytes([_BETWEEN]).join(map(lowered, texts)))
+        h = grams(a)
+        place = np.nonzero(self.bitmap[h >> np.uint64(64 - BITS)])[0]
+        slot = np.minimum(np.searchsorted(self.hashes, h[place]), len(self.hashes) - 1)
+        place = place[self.hashes[slot] == h[place]]
+        walls = np.nonzero(a == _BETWEEN)[0]
+        counts = np.bincount(np.searchsorted(walls, place), minlength=len(texts))
+        least = int(self.bounds(share)[2].min())
+        out = []
+        for k in np.nonzero(counts >= least)[0].tolist():
+            lo, hi = int(walls[k - 1]) + 1 if k else 0, int(walls[k]) if k < len(walls) else len(a)
+            first = int(at[walls[k - 1]]) + 1 if k else 0
+            out += [(k, i, e, int(at[lo + s]) - first, int(at[lo + t - 1]) + 1 - first) for i, e, s, t in self.hits(a[lo:hi], share)]
+        return out
+
     def hits(self, text: np.ndarray, share: float = EDIT_SHARE) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of the best match of each item found in normal text."""
         h = grams(text)
@@ -117,9 +159,7 @@ class Index:
             return []
         slot = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         where, owner, place = np.repeat(at, n), self.owner[slot], self.place[slot]
-        sizes = np.array([len(a) for a in self.items])
-        budgets = np.array([budget(m, share) for m in sizes])
-        bound = sizes + 1 - Q * (budgets + 1)
+        sizes, budgets, bound = self.bounds(share)
         half = budgets[owner] + 1
         diagonal = where - place + sizes[owner] + 2 * half
         found: dict[int, tuple[int, int, int]] = {}
@@ -133,7 +173,12 @@ class Index:
                 continue
             half_i, k = int(budgets[i]) + 1, int(budgets[i])
             low = band * half_i - int(sizes[i]) - 2 * half_i
-            got = align(self.items[i], text, low, low + 2 * half_i - 1, k)
+            if i in found and found[i][0] == 0:
+                continue
+            # no edit: the alignment along one diagonal, which is a search
+            item, begin = self.items[i], max(0, low)
+            same = text[begin : low + 2 * half_i - 1 + len(item)].tobytes().find(item.tobytes())
+            got = (0, begin + same, begin + same + len(item)) if same >= 0 else align(item, text, low, low + 2 * half_i - 1, k)
             if got and (i not in found or got < found[i]):
                 found[i] = got
         return [(i, *v) for i, v in sorted(found.items())]
@@ -159,12 +204,8 @@ def find_passages(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE,
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index.of(shared.value)
             for part in by_bytes(batches, "text"):
-                out: list[tuple] = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    if not text:
-                        continue
-                    a, at = normal(text)
-                    out += [(doc, index.ids[i], e, int(at[s]), int(at[t - 1]) + 1) for i, e, s, t in index.hits(a, share)]
+                docs = part.column("doc_id").to_pylist()
+                out = [(docs[k], index.ids[i], e, s, t) for k, i, e, s, t in index.scan(texts_of(part), share)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "start_byte", "end_byte"])
 
         rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

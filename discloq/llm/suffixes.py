@@ -456,9 +456,14 @@ def _solve_packed(buckets: int):
         for batch in batches:
             for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
                 groups.setdefault(b, []).append(blob)
+        held, size = [], 0
         while groups:
             _, blobs = groups.popitem()
-            yield _span_blobs(*_solved([_unpacked(x, *TYPES) for x in blobs]), buckets)
+            held.append(_solved([_unpacked(x, *TYPES) for x in blobs]))
+            size += len(held[-1][0])
+            if size > FLUSH or not groups:
+                yield _span_blobs(*(np.concatenate(c) for c in zip(*held)), buckets)
+                held, size = [], 0
 
     return run
 
@@ -595,7 +600,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_docs: int = HOT
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     bits = min(MOST_BITS, max(20, int((size or 0) // 2).bit_length()))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
+    buckets = 2 * tasks
     cells = repeated_cells(rows, bits, tasks, hot_docs)
     shared = spark.sparkContext.broadcast(cells)
     spans = rows.mapInArrow(_scan(shared, bits, buckets, False, _emit_packed), BLOB).repartition(tasks, "bucket").mapInArrow(_solve_packed(buckets), BLOB)

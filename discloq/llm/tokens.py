@@ -58,6 +58,16 @@ class Remembered:
         return _Both(self.known, found | fresh)
 
 
+#: One memory for each tokenizer and use in a worker process, kept from task to task.
+_MEMORIES: dict[tuple[str, str], Remembered] = {}
+
+
+def memory(name: str, use: str, make: Callable[[], Callable[[list], list]], keep: int, spare: int) -> Remembered:
+    if (name, use) not in _MEMORIES:
+        _MEMORIES[name, use] = Remembered(make(), keep, spare)
+    return _MEMORIES[name, use]
+
+
 class _Both(dict):
     def __init__(self, base: dict, more: dict):
         super().__init__(more)
@@ -90,13 +100,20 @@ def counted(texts: list[str], seen: Remembered) -> np.ndarray:
     return np.fromiter((sum(map(get, p)) for p in pieces), np.int64, len(pieces))
 
 
+def length_memory(name: str) -> Remembered:
+    def make():
+        t = tokenizer(name)
+        return lambda words: [len(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+    return memory(name, "lengths", make, 350_000, 250_000)
+
+
 def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int = LIMIT, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row. Null is empty: 0 bytes, 0 tokens.
     The tokenizer is loaded once for each worker; only lengths leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(name)
-        seen = Remembered(lambda words: [len(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        seen = length_memory(name)
         for part in by_bytes(batches, "text", batch_bytes):
             n = counted(texts_of(part), seen)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -106,21 +123,22 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int =
 
 
 def word_ids(texts: list[str], seen: Remembered) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, for a tokenizer that drops white space:
-    every ASCII white space is a safe boundary."""
-    pieces = [t.encode("utf-8", "replace").split() for t in texts]
+    """Little-endian unsigned 32-bit ids of each text, for a tokenizer that lower-cases and drops
+    white space: every ASCII white space is a safe boundary, and A-Z may be lower-cased before
+    unless that could make a special string."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    pieces = [(b if b"<|" in b else b.lower()).split() for b in raw]
     known = seen.table(set().union(*pieces)) if pieces else {}
     get = known.__getitem__
     return [b"".join(map(get, p)) for p in pieces]
 
 
 def id_memory(name: str) -> Remembered:
-    t = tokenizer(name)
-
-    def encode(words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def make():
+        t = tokenizer(name)
+        return lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    return Remembered(encode, 300_000, 200_000)
+    return memory(name, "ids", make, 300_000, 200_000)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

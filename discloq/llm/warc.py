@@ -114,8 +114,8 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
 
     files, base = pafs.FileSystem.from_uri(folder)
     files.create_dir(base)
-    # one entry a file of up to roll_bytes
-    entries = [r.asDict() for r in laid.mapInArrow(run, "file string, records long, bytes long").orderBy("file").collect()]
+    # one entry a file of up to roll_bytes; sorted here, as a sort in Spark would write twice
+    entries = sorted((r.asDict() for r in laid.mapInArrow(run, "file string, records long, bytes long").collect()), key=lambda e: e["file"])
     temp = f"{base}/.manifest.{uuid.uuid4().hex}.tmp"
     with files.open_output_stream(temp) as out:
         out.write(json.dumps({"files": entries}, indent=1).encode())
