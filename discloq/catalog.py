@@ -243,7 +243,7 @@ def html_strip_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.strip_markup(F.col("html")).alias("text"))
 
 
-_SENT = """s AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS si, trim(unnest(l), ' ' || chr(10) || chr(9) || chr(13)) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([。！？.!?])', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents))"""
+_SENT = """s AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS si, trim(unnest(l), ' ' || chr(10) || chr(9) || chr(13)) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([。！？])', '\\1' || chr(1), 'g'), '([.!?])(\\s|\\z)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM documents))"""
 
 
 @query(f"WITH {_SENT} SELECT doc_id, count(*) AS n, sum(length(sentence))::BIGINT AS n_chars FROM s WHERE length(sentence) >= 6 GROUP BY doc_id")
@@ -260,7 +260,7 @@ def answer_candidates(spark, sf_dir):
 
 _CAND = f"""{_BM25},
 hits AS (SELECT qid, doc_id, source AS company, text, r - 1 AS ci FROM lex JOIN documents USING (doc_id) WHERE r <= 8),
-un AS (SELECT qid, doc_id, company, ci, list_filter(string_split(regexp_replace(text, '([。！？.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda z: trim(z, ' ') <> '') AS l FROM hits),
+un AS (SELECT qid, doc_id, company, ci, list_filter(string_split(regexp_replace(regexp_replace(text, '([。！？])', '\\1' || chr(1), 'g'), '([.!?])(\\s|\\z)', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda z: trim(z, ' ') <> '') AS l FROM hits),
 ex AS (SELECT qid, doc_id, company, ci, generate_subscripts(l, 1) - 1 AS si, trim(unnest(l), ' ' || chr(10) || chr(9) || chr(13)) AS sentence FROM un),
 tk AS (SELECT DISTINCT qid, ci, si, {_TOKENS.format(text='sentence')} AS term FROM ex WHERE length(sentence) >= 6),
 ov AS (SELECT t.qid, ci, si, count(*) AS n, count(q.term) AS o FROM tk t LEFT JOIN qterm q ON q.qid = t.qid AND q.term = t.term WHERE {_KEEP.replace('term ', 't.term ').replace('(term', '(t.term')} GROUP BY ALL),

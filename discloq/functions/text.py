@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from discloq import dictionaries as D
 
 TOKEN = r"[0-9][0-9,.]*%?|[\p{L}]+"
-SENTENCE_END = r"(?<=[。！？.!?])"
 
 
 def clean_cell(c: Column) -> Column:
@@ -64,7 +63,9 @@ def escape(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.split(c, SENTENCE_END)
+    """Cut after 。！？ always and after .!? before white space, so decimals stay whole."""
+    marked = F.regexp_replace(F.regexp_replace(c, "([。！？])", "$1\u0001"), r"([.!?])(\s|\z)", "$1\u0001$2")
+    return F.split(marked, "\u0001")
 
 
 def has_number(c: Column) -> Column:
