@@ -92,9 +92,9 @@ class Network:
         return [self.labels[k] if ok else UNKNOWN for k, ok in zip(best, known)], np.where(known, p[np.arange(len(p)), best], 0.0)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 8, rate: float = 4e-3) -> Network:
-    """Trains by Adam on one window of each text and a short piece of it. Without any labelled
-    text the network knows UNKNOWN only."""
+def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 400, rate: float = 4e-3) -> Network:
+    """Trains by Adam on one window of each text and a short piece of it, at least ``steps``
+    times 64. Without any labelled text the network knows UNKNOWN only."""
     labels = sorted(set(langs)) or [UNKNOWN]
     rng = np.random.default_rng(seed)
     total = len(WIDTHS) * FILTERS
@@ -121,7 +121,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 8, ra
     per_row = (len(y) / (len(labels) * share))[y]  # classes weigh alike
     params = [net.embed, *net.filters, net.shift, net.dense, net.base]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(epochs):
+    for _ in range(max(8, -(-64 * steps // len(x)))):
         order = rng.permutation(len(x))
         for a in range(0, len(order), 64):
             rows = order[a : a + 64]

@@ -24,6 +24,7 @@ WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one bucket that are compared in one task; larger buckets are compared by
 #: pairs of blocks, each pair a group of its own.
 BUCKET = 4096
+NO_ID = 1 << 62
 
 
 def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED, chunk: int = 1 << 15) -> int:
@@ -177,12 +178,14 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataF
 def near_dups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row. Texts without a word,
     null ones too, have fingerprint zero and link like any other. Rows of one fingerprint form
-    a class; only classes are compared. A null doc_id is never a component's id unless it's the
-    only one."""
+    a class; only classes are compared. A component without any doc_id has a null id; doc_ids
+    are below 2**62."""
     fps = written(fingerprints(docs, words), "simhash")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "simhash-classes")
-    found = components(links(classes.filter("id is not null").select("fp", "id"), radius))
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"))
+    stand_in = F.lit(NO_ID) + F.pmod("fp", F.lit(NO_ID))  # for a class without any doc_id
+    classes = written(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), stand_in).alias("id"), F.count("*").alias("n")), "simhash-classes")
+    found = components(links(classes.select("fp", "id"), radius))
+    least = F.coalesce("component", "id")
+    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", "n", F.when(least < NO_ID, least).alias("component_id"))
     out = join_hot(fps, named, "fp", "n", fps.count(), "inner")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
