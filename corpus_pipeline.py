@@ -10,7 +10,7 @@ from discloq.llm.common import table
 from discloq.session import written
 
 #: A language is taken from this probability on; a text below it, or without a letter, goes.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
