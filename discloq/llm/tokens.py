@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,24 +39,25 @@ class Remembered:
         self.later: dict = {}
 
     def table(self, pieces: set) -> dict:
-        """A mapping that holds all of ``pieces``."""
-        missing = [p for p in pieces if p not in self.known]
-        if self.later:
-            found = {p: self.later[p] for p in missing if p in self.later}
-            missing = [p for p in missing if p not in found]
-        else:
-            found = {}
-        fresh = dict(zip(missing, self.encode(missing))) if missing else {}
-        short = {p: v for p, v in fresh.items() if len(p) <= _LONGEST}
-        if len(self.known) < self.keep:
-            self.known.update(short)
-        else:
-            if len(self.later) > self.spare:
-                self.later.clear()
-            self.later.update(short)
-        if len(fresh) == len(short) and not found and len(self.known) < self.keep:
-            return self.known
-        return _Both(self.known, found | fresh)
+        """The results of ``pieces`` and of no others: small, so that the many lookups are quick."""
+        if len(self.later) > self.spare:
+            self.later.clear()
+        found, missing = {}, []
+        known, later = self.known.get, self.later.get
+        for p in pieces:
+            v = known(p)
+            if v is None:
+                v = later(p)
+            if v is None:
+                missing.append(p)
+            else:
+                found[p] = v
+        if missing:
+            fresh = dict(zip(missing, self.encode(missing)))
+            found |= fresh
+            held = self.known if len(self.known) < self.keep else self.later
+            held.update((p, v) for p, v in fresh.items() if len(p) <= _LONGEST)
+        return found
 
 
 #: One memory for each tokenizer and use in a worker process, kept from task to task.
@@ -68,15 +70,6 @@ def memory(name: str, use: str, make: Callable[[], Callable[[list], list]], keep
     return _MEMORIES[name, use]
 
 
-class _Both(dict):
-    def __init__(self, base: dict, more: dict):
-        super().__init__(more)
-        self.base = base
-
-    def __missing__(self, key):
-        return self.base[key]
-
-
 def tokenizer(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -136,7 +129,16 @@ def word_ids(texts: list[str], seen: Remembered) -> list[bytes]:
 def id_memory(name: str) -> Remembered:
     def make():
         t = tokenizer(name)
-        return lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        model = t.model
+
+        def encode(words: list[bytes]) -> list[bytes]:
+            # a lower-case ASCII word is its own normal form and one piece: the model can have it as it is
+            plain = [w.isalpha() and w.islower() for w in words]
+            others = (e.ids for e in t.encode_batch_fast([w.decode() for w, p in zip(words, plain) if not p], add_special_tokens=False))
+            each = ([x.id for x in model.tokenize(w.decode())] if p else next(others) for w, p in zip(words, plain))
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in each]
+
+        return encode
 
     return memory(name, "ids", make, 300_000, 200_000)
 
