@@ -71,6 +71,13 @@ def test_token_counts(spark):
         assert tuple(r) == (d, len((x or "").encode()), n, n > 1024), x
 
 
+def test_remembered_gives_all_pieces_when_full():
+    seen = tokens.Remembered(lambda words: [len(w) for w in words], keep=3, spare=2)
+    for batch in ({"a", "bb"}, {"bb", "ccc", "d" * 99}, {"e", "ff", "ggg"}, {"a", "e", "hh", "i"}, set(), {"e", "a"}):
+        assert seen.table(batch) == {w: len(w) for w in batch}
+    assert "d" * 99 not in seen.known
+
+
 def test_packing(spark):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = [(r["doc_id"], r["text"]) for r in all_docs(spark).collect()] + [(900 + i, x) for i, (_, x) in enumerate(EDGES)] + [(990, "Á B <|ENDOFTEXT|> <|endoftext|> it's ΣΑΣ")]
