@@ -53,6 +53,11 @@ SECTION_TITLES = [
     "综合权益变动表", "财务报表附注", "主要会计政策", "其他资料", "财务资料",
 ]
 
+# fixed values: questions with one of these ask for a number
+NUMBER_ASKED = (
+    "多少 几 金额 收入 利润 毛利 占比 比重 增长率 增速 同比 环比 规模 总额 亿元 万元 比例 率是 达到 排名 第几 市占"
+).split()
+
 # fixed values: retrieval and chunking constants
 RRF_K, POOL, COVER_POOL = 60, 200, 60
 BM25_K1, BM25_B = 1.5, 0.75

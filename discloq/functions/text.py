@@ -119,14 +119,20 @@ def han_pairs(t: Column) -> Column:
     return F.when((F.length(t) > 1) & t.rlike(r"^\p{IsHan}"), pairs).otherwise(F.array(t))
 
 
+def domain_hits(c: Column, words=D.DOMAIN_WORDS) -> Column:
+    """Words of the domain that the text contains, each once."""
+    none = F.array().cast("array<string>")
+    return F.when(c.rlike(r"\p{IsHan}"), F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))).otherwise(none)
+
+
 def is_token(t: Column) -> Column:
     """No stop word, no single character but a letter or digit, no digit string over 8."""
     return ~t.isin(*D.STOP_WORDS) & ((F.length(t) > 1) | t.rlike("^[0-9a-z]$")) & ~t.rlike("^[0-9]{9,}$")
 
 
 def tokens(c: Column) -> Column:
-    """All tokens of a text, lower-cased, in order, as one array."""
-    return F.filter(F.flatten(F.transform(token_runs(c), lambda t: han_pairs(F.lower(t)))), is_token)
+    """All tokens of a text, lower-cased, in order, then words of the domain, as one array."""
+    return F.filter(F.concat(F.flatten(F.transform(token_runs(c), lambda t: han_pairs(F.lower(t)))), domain_hits(c)), is_token)
 
 
 def l2_normalised(v: Column) -> Column:

@@ -14,8 +14,13 @@ def candidates(hits: DataFrame, query_terms: Column, numeric: Column, focus: Col
     """hits(qid, ci, text, ...) as scored sentences (si, sentence, score, has_num).
 
     Hit density, bonuses for numbers and for numbers with a focus term, decay by place in the
-    text and in the hits, and a malus for lines that only lead in."""
-    units = hits.select("*", F.posexplode(F.filter(X.sentences(F.col("text")), lambda s: F.trim(s) != "")).alias("si", "unit"))
+    text and in the hits, and a malus for lines that only lead in. A hit with a true has_table
+    is cut into lines, and gets a bonus if it has a focus term or there is none."""
+    cut, topic = X.sentences(F.col("text")), F.lit(0.0)
+    if "has_table" in hits.columns:
+        cut = F.when(F.col("has_table"), F.split("text", "\n")).otherwise(cut)
+        topic = F.when(F.col("has_table") & ((F.size(focus) == 0) | F.exists(focus, lambda w: F.contains("text", w))), 0.15).otherwise(0.0)
+    units = hits.select("*", topic.alias("_topic"), F.posexplode(F.filter(cut, lambda s: F.trim(s) != "")).alias("si", "unit"))
     units = units.withColumn("sentence", F.trim(F.regexp_replace("unit", r"(?U)^\s+|\s+$", ""))).filter(F.length("sentence") >= SHORTEST)
     terms = F.array_distinct(X.tokens(F.col("sentence")))
     units = units.withColumn("_t", terms).filter(F.size("_t") > 0).withColumn("_o", F.size(F.array_intersect("_t", query_terms)))
@@ -25,7 +30,7 @@ def candidates(hits: DataFrame, query_terms: Column, numeric: Column, focus: Col
     lead = F.col("sentence").rlike("(：|:|如下)$")
     score = F.col("_o") / F.sqrt(F.size("_t").cast("double")) + F.when(numeric & num, 0.45).otherwise(0.0) + F.when(numeric & num & on_focus, 0.55).otherwise(0.0)
     score = score + 0.25 / (1 + F.col("si")) + 0.30 / (1 + F.col("ci")) - F.when(lead, 0.45).otherwise(0.0)
-    return units.withColumn("score", F.round(score, 9)).withColumn("is_focus", on_focus).drop("_t", "_o", "unit")
+    return units.withColumn("score", F.round(score + F.col("_topic"), 9)).withColumn("is_focus", on_focus).drop("_t", "_o", "_topic", "unit")
 
 
 def best(cands: DataFrame, most: int = 6) -> DataFrame:

@@ -68,3 +68,46 @@ def gap_counts(gaps: DataFrame, examples: int = 6) -> DataFrame:
     codes = gaps.sparkSession.createDataFrame(list(GAP_REASONS.items()), "code string, reason string")
     found = gaps.groupBy("code").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("id")), 1, examples).alias("examples"))
     return codes.join(found, "code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+# fixed values: share of questions hit in the first run, kept for comparison
+FIRST_RUN = {"hybrid": 0.60, "bm25": 0.70, "vector": 0.60, "cover": None}
+
+
+def groups_hit(blob: Column, groups: Column) -> Column:
+    """For each group of wordings: is one of them in the text. No group: an empty array."""
+    return F.transform(F.coalesce(groups, F.array().cast("array<array<string>>")), lambda g: F.exists(g, lambda w: F.contains(F.coalesce(blob, F.lit("")), w)))
+
+
+def hit_texts(hits: DataFrame, depth: int, with_meta: bool = True) -> DataFrame:
+    """(qid, blob): the texts of each question's first ``depth`` hits, each behind its company,
+    kind and section."""
+    part = F.concat_ws("\n", F.concat_ws(" ", "company", "kind", "section"), "text") if with_meta else F.col("text")
+    rows = hits.filter(F.col("rank") <= depth).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("t")))).alias("_l"))
+    return rows.select("qid", F.array_join(F.transform("_l", lambda s: s["t"]), "\n").alias("blob"))
+
+
+def hit_class(hit5: Column, hit8: Column) -> Column:
+    return F.when(hit5, "命中").when(hit8, "仅Top8命中").otherwise("未命中")
+
+
+def answer_items(answers: DataFrame) -> DataFrame:
+    """(qid, text, company) of what an answer says: its head without a company, its bullets with
+    the company that they cite."""
+    head = answers.select("qid", F.col("answer").alias("text"), F.lit(None).cast("string").alias("company"))
+    bullets = answers.select("qid", F.explode("bullets").alias("b"))
+    return head.unionByName(bullets.select("qid", F.col("b.text").alias("text"), X.cited_company(F.col("b.cite")).alias("company")))
+
+
+def against_first_run(scores: DataFrame) -> DataFrame:
+    """scores(mode, hit_rate) beside the first run's and the difference in points."""
+    first = scores.sparkSession.createDataFrame(list(FIRST_RUN.items()), "mode string, first double")
+    return scores.join(first, "mode", "left").withColumn("points", F.round((F.col("hit_rate") - F.col("first")) * 100, 1))
+
+
+def rationale(covered: Column, total: Column, right: Column, partly: Column, absent: Column, codes: Column) -> Column:
+    """One sentence: the verdict, then what was answered, unattributed and absent (arrays of
+    strings), and the codes of failures. Empty parts go."""
+    part = lambda label, items: F.when(F.size(items) > 0, F.concat(F.lit(label), F.array_join(items, "、"), F.lit("。")))
+    head = F.concat(F.lit("cover "), covered.cast("string"), F.lit("/"), total.cast("string"), F.lit("，判定 "), verdict(covered, total), F.lit("。"))
+    return F.concat_ws(" ", head, part("已答对：", right), part("数值未归宿：", partly), part("未答出：", absent), part("归因：", codes))

@@ -12,7 +12,10 @@ from discloq.session import written
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf). Tokens are rows before they are filtered, so the filter is compiled."""
-    rows = docs.select(key, F.explode(X.token_runs(F.col(text))).alias("run")).select(key, F.explode(X.han_pairs(F.lower("run"))).alias("term"))
+    whole = F.transform(X.domain_hits(F.col(text)), lambda w: F.concat(F.lit("\u0001"), w))  # marked: not cut into pairs
+    rows = docs.select(key, F.explode(F.concat(X.token_runs(F.col(text)), whole)).alias("run"))
+    cut = F.when(F.col("run").startswith("\u0001"), F.array(F.expr("substring(run, 2)"))).otherwise(X.han_pairs(F.lower("run")))
+    rows = rows.select(key, F.explode(cut).alias("term"))
     return rows.filter(X.is_token(F.col("term"))).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -23,45 +26,55 @@ def term_stats(posts: DataFrame, n_docs) -> DataFrame:
     return df.withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", pool: int = D.POOL) -> DataFrame:
-    """(qid, key, score_bm25, rank_bm25): the ``pool`` best documents of each query(qid, text).
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(qid, key, score_bm25) of every document with a term of the query.
 
-    Statistics are those of the whole corpus. Only documents with a term of the query are
-    ranked; equal scores are ranked by key."""
+    Statistics are those of the whole corpus. ``queries`` are (qid, text) or, with further terms
+    that are taken as they are, (qid, text, extra)."""
     posts = written(postings(docs, key), "postings")  # the index: read by all that follows
     lengths = posts.groupBy(key).agg(F.sum("tf").alias("len"))
     n = docs.count()
     average = (posts.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
-    wanted = queries.select("qid", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    extra = F.coalesce("extra", F.array().cast("array<string>")) if "extra" in queries.columns else F.array().cast("array<string>")
+    terms = F.explode(F.concat(X.tokens(F.col("text")), extra))
+    wanted = queries.select("qid", terms.alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     k1, b = D.BM25_K1, D.BM25_B
     # one row per (term, document) that some query wants, before it meets the queries
     useful = posts.join(wanted.select("term").distinct(), "term", "left_semi")
     weight = useful.join(term_stats(posts, n), "term").join(lengths, key)
     norm = k1 * (1 - b + b * F.col("len") / F.lit(average))
     weight = weight.select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("w"))
-    scored = weight.join(wanted, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score_bm25"))
-    return ranked(scored, key, "bm25", pool)
+    return weight.join(wanted, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score_bm25"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", pool: int = D.POOL) -> DataFrame:
+    """(qid, key, score_bm25, rank_bm25): the ``pool`` best documents of each query(qid, text);
+    equal scores are ranked by key."""
+    return ranked(bm25_scores(docs, queries, key), key, "bm25", pool)
 
 
-def ranked(scored: DataFrame, key: str, name: str, pool: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.desc(f"score_{name}"), key)
+def ranked(scored: DataFrame, key: str, name: str, pool: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.desc(f"score_{name}"), key)
     return scored.withColumn(f"rank_{name}", F.row_number().over(order)).filter(F.col(f"rank_{name}") <= pool)
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", pool: int = D.POOL) -> DataFrame:
     """(qid, key, score_vector, rank_vector) by the dot product with queries(qid, vector). The
     query set is stated and meets all vectors."""
-    pairs = vectors.crossJoin(queries).select("qid", key, F.round(X.dot(F.col("embedding"), F.col("vector")), 9).alias("score_vector"))
-    return ranked(pairs, key, "vector", pool)
+    return ranked(vector_scores(vectors, queries, key), key, "vector", pool)
+
+
+def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataFrame:
+    return vectors.crossJoin(queries).select("qid", key, F.round(X.dot(F.col("embedding"), F.col("vector")), 9).alias("score_vector"))
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, key: str, top: int, k: int = D.RRF_K) -> DataFrame:
+def fuse(lexical: DataFrame, vector: DataFrame, key: str, top: int, k: int = D.RRF_K, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Reciprocal-rank fusion; ties keep lexical order, then vector order."""
-    both = lexical.join(vector, ["qid", key], "full_outer")
+    both = lexical.join(vector, [*by, key], "full_outer")
     part = lambda c: F.coalesce(1.0 / (F.lit(k) + F.col(c)), F.lit(0.0))
     both = both.withColumn("score", F.round(part("rank_bm25") + part("rank_vector"), 6))
     both = both.withColumn("retriever", F.concat_ws("+", F.when(F.col("rank_bm25").isNotNull(), "bm25"), F.when(F.col("rank_vector").isNotNull(), "vector")))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("rank_bm25"), F.asc_nulls_last("rank_vector"), key)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("rank_bm25"), F.asc_nulls_last("rank_vector"), key)
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
