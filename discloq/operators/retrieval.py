@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,29 +21,45 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.filter(X.is_token(F.col("term"))).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(posts: DataFrame, n_docs) -> DataFrame:
+def term_stats(posts: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, idf); idf is always positive."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.lit(n_docs) if not hasattr(n_docs, "_jc") else n_docs
+    n = F.lit(n_docs)
     return df.withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+@dataclass
+class LexicalIndex:
+    """postings(key, term, tf), lengths(key, len), the number of documents and their mean length."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    n: int
+    average: float
+
+
+def lexical_index(docs: DataFrame, key: str = "doc_id") -> LexicalIndex:
+    """The index of docs(key, text); its tables are written, so that any number of searches read
+    them."""
+    posts = written(postings(docs, key), "postings")
+    lengths = written(posts.groupBy(key).agg(F.sum("tf").alias("len")), "lengths")
+    n = docs.count()
+    return LexicalIndex(posts, lengths, n, (lengths.agg(F.sum("len")).first()[0] or 0) / max(n, 1))
+
+
+def bm25_scores(index: LexicalIndex, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """(qid, key, score_bm25) of every document with a term of the query.
 
     Statistics are those of the whole corpus. ``queries`` are (qid, text) or, with further terms
     that are taken as they are, (qid, text, extra)."""
-    posts = written(postings(docs, key), "postings")  # the index: read by all that follows
-    lengths = posts.groupBy(key).agg(F.sum("tf").alias("len"))
-    n = docs.count()
-    average = (posts.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
+    posts, n, average = index.postings, index.n, index.average
     extra = F.coalesce("extra", F.array().cast("array<string>")) if "extra" in queries.columns else F.array().cast("array<string>")
     terms = F.explode(F.concat(X.tokens(F.col("text")), extra))
     wanted = queries.select("qid", terms.alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     k1, b = D.BM25_K1, D.BM25_B
     # one row per (term, document) that some query wants, before it meets the queries
     useful = posts.join(wanted.select("term").distinct(), "term", "left_semi")
-    weight = useful.join(term_stats(posts, n), "term").join(lengths, key)
+    weight = useful.join(term_stats(useful, n), "term").join(index.lengths, key)
     norm = k1 * (1 - b + b * F.col("len") / F.lit(average))
     weight = weight.select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("w"))
     return weight.join(wanted, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score_bm25"))
@@ -50,7 +68,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> Dat
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", pool: int = D.POOL) -> DataFrame:
     """(qid, key, score_bm25, rank_bm25): the ``pool`` best documents of each query(qid, text);
     equal scores are ranked by key."""
-    return ranked(bm25_scores(docs, queries, key), key, "bm25", pool)
+    return ranked(bm25_scores(lexical_index(docs, key), queries, key), key, "bm25", pool)
 
 
 def ranked(scored: DataFrame, key: str, name: str, pool: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:

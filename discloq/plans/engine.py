@@ -8,6 +8,8 @@ Missing columns of chunks are empty.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ class Engine:
                 chunks = chunks.withColumn(name, F.expr(default))
         self.chunks, self.vectors, self.aliases = chunks, vectors, aliases
 
+    @cached_property
+    def index(self) -> retrieval.LexicalIndex:
+        return retrieval.lexical_index(self.chunks.select(KEY, "text"), KEY)
+
     def eligible(self, companies=(), kinds=(), sections=(), segments=()) -> DataFrame:
         return retrieval.metadata_filter(self.chunks, companies, kinds, sections, segments).select(KEY, "company", "kind")
 
@@ -51,7 +57,7 @@ class Engine:
         lexical = vector = None
         if mode != "vector":
             asked = queries.select("qid", "text", X.expand_synonyms(F.col("text")).alias("extra"))
-            lexical = among(retrieval.bm25_scores(self.chunks.select(KEY, "text"), asked, KEY))
+            lexical = among(retrieval.bm25_scores(self.index, asked, KEY))
         if mode != "bm25":
             if self.vectors is None or "vector" not in queries.columns:
                 raise ValueError(f"{mode} needs vectors of chunks and questions")
