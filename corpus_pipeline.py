@@ -13,29 +13,45 @@ from discloq.session import written
 LEAST_SCORE = 0.3
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but doc_id and text under neutral names, which clash with no
+    operator's own, and what they are called."""
+    names = {c: f"_own{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without those that ``gone(doc_id)`` names; columns keep their order."""
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the network knows."""
     net = language.train(*language.training_rows(docs))
-    found = language.predict_documents(docs, net, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    plain, names = set_aside(docs)
+    found = language.predict_documents(plain, net, keep=tuple(plain.columns))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(plain.columns).withColumnsRenamed(names)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact.exact_dedup(docs).filter("kept").select(docs.columns)
+    """One document of each group of equal texts; rows that repeat its doc_id and text stay."""
+    plain, names = set_aside(docs)
+    return exact.exact_dedup(plain).filter("kept").select(plain.columns).withColumnsRenamed(names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of near copies."""
+    """The smallest document of each component of near copies. A document without a doc_id
+    can't be named and stays."""
     found = simhash.near_dups(docs)
     gone = found.filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. A document without a doc_id can't be named
+    and stays; of several with one doc_id all go or none."""
     hits = written(contamination.find_passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "passages")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, hits)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

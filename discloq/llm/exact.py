@@ -53,12 +53,11 @@ def exact_dedup(docs: DataFrame, carry: bool = True) -> DataFrame:
 
     Of equal texts the one with the most code points stays, then the smallest doc_id. A null
     doc_id loses against any other. Rows that repeat a doc_id with an equal text are one
-    document: each counts in group_size and they share its decision.
+    document: each counts in group_size and they share its decision. Own columns may have any
+    other name: they are set aside while the work is done.
     """
-    base = docs.drop(*OUT)
-    base = base if carry else base.select("doc_id", "text")
-    own = [c for c in base.columns if carry or c == "doc_id"]
-    signed = written(base.select("doc_id", digest(F.col("text")).alias("_sha"), F.length(F.coalesce("text", F.lit(""))).alias("_long")), "exact")
+    own = {f"_own{k}": c for k, c in enumerate(docs.drop(*OUT).columns if carry else ["doc_id"])}
+    signed = written(docs.select("doc_id", digest(F.col("text")).alias("_sha"), F.length(F.coalesce("text", F.lit(""))).alias("_long")), "exact")
     total = signed.count()
     cells = min(MOST_CELLS, 1 << max(16, (CELLS_A_ROW * total).bit_length()))
     bits = written(repeated_bits(signed, cells), "exact-bits")
@@ -66,7 +65,7 @@ def exact_dedup(docs: DataFrame, carry: bool = True) -> DataFrame:
     best = F.max(F.struct("_long", (-F.col("doc_id")).alias("_less")))
     groups = written(maybe.groupBy("_sha").agg(F.count("*").alias("_size"), best.alias("_best")).select("_sha", "_size", (-F.col("_best._less")).alias("_keep")), "exact-groups")
     limit = max(32, total // HOT_SHARE)
-    rows = base.withColumn("_sha", digest(F.col("text"))).select(*own, "_sha") if carry else signed.select("doc_id", "_sha")
+    rows = docs.select("doc_id", *(F.col(f"`{c}`").alias(k) for k, c in own.items()), digest(F.col("text")).alias("_sha")) if carry else signed.select("doc_id", F.col("doc_id").alias("_own0"), "_sha")
     rows = possibly_repeated(rows, bits, cells)
     # groups above the limit: at most HOT_SHARE of them
     rows = rows.join(F.broadcast(groups.filter(F.col("_size") > limit)), "_sha", "left")
@@ -76,7 +75,7 @@ def exact_dedup(docs: DataFrame, carry: bool = True) -> DataFrame:
     out = straight.unionByName(others)
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return out.select(
-        *own, keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
+        *(F.col(k).alias(c) for k, c in own.items()), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("_sha").alias("text_sha256"),
     )
 

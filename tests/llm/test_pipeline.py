@@ -42,6 +42,18 @@ def test_stages_chain(spark, tmp_path):
     assert language.UNKNOWN == "und" and F is not None
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["lang_pred", "score", "held_out", "kept", "keep_id", "group_size", "text_sha256", "component_id", "_sha", "_size", "_maybe", "_set0", "_hot", "_text", "n", "a.b"]
+    docs = docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        mine = {r["doc_id"]: tuple(r) for r in docs.collect()}
+        got = out.collect()
+        assert got and all(mine[r["doc_id"]] == tuple(r) for r in got)
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 100 and corpus_pipeline.ORACLE_SQL is None
