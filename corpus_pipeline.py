@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm import contamination, exact, language, packing, simhash
+from discloq.llm import contamination, exact, language, near, packing
 from discloq.llm.common import table
 from discloq.session import written
 
@@ -40,11 +40,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of near copies. A document without a doc_id
-    can't be named and stays."""
-    found = simhash.near_dups(docs)
-    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
-    return without(docs, gone)
+    """One row of each component of near copies: five-word shingles, similarity 0.8 or more, both
+    exact. It has the component's smallest doc_id; rows that repeat its doc_id and text stay."""
+    gone = written(near.near_copies(docs), "near-copies")
+    return docs.join(gone, near.row_key(docs) == gone["key"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language_id),
     ("exact dedup", exact_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("best-fit packing", pack),
 ]
