@@ -176,6 +176,13 @@ def tfidf_grams(spark, sf_dir):
     return rows.groupBy("item_id").agg(F.count("*").alias("n_grams"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("largest"))
 
 
+@query()
+def tfidf_document_grams(spark, sf_dir):
+    """``tfidf_grams`` over all chunks; tests hold its weights against a restatement."""
+    rows = embedding.tfidf(chunks(spark, sf_dir), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("largest"))
+
+
 @query()
 def tfidf_svd_embed(spark, sf_dir):
     """A basis is unique but for signs; tests hold its dot products against numpy."""
