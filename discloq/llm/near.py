@@ -1,9 +1,18 @@
-"""Near copies by exact Jaccard similarity of word shingles, whatever the distance of fingerprints.
+"""Near copies: covering SimHash tables first, then every pair that they can't reach.
 
-Shingles have one order everywhere. Two sets of similarity t or more share a shingle among the
-first n - ceil(t n) + 1 of each, so pairs that meet in no such bucket needn't be compared, and
-none is lost. Shingles that a sample finds in many texts come last in the order, which keeps
-buckets small; results don't depend on the sample. Candidates are verified on the whole sets.
+Texts count by their sets of five-word shingles; similarity is Jaccard's, and each link is
+verified on whole sets. Links are searched for in two ways.
+
+1. SimHash: fingerprints within the radius meet in some covering table (``simhash.links``).
+   Sets of similarity 0.8 differ in about 10 of 64 bits, and covering tables for a radius of 16
+   would be 131071, so the tables find the closest copies only.
+2. A prefix filter for the rest: shingles have one order everywhere, and two sets of similarity
+   t or more share a shingle among the first n - ceil(t n) + 1 of each. No pair is missed.
+   Shingles that a sample finds in many texts come last in the order, which keeps buckets small;
+   results don't depend on the sample.
+
+Links found first join most of a large group of copies, so that later steps form pairs only
+between texts that aren't joined yet.
 """
 
 from __future__ import annotations
@@ -16,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from discloq.llm import simhash
 from discloq.llm.batches import by_bytes
 from discloq.llm.common import components, join_hot
 from discloq.session import written
@@ -24,8 +34,9 @@ from discloq.session import written
 WORDS, LEAST, OF = 5, 4, 5
 #: Rows of the sample, and how many of its frequent shingles are known to all tasks.
 SAMPLE, FREQUENT = 20_000, 1 << 16
-#: Members of a bucket that are compared at once.
-BLOCK = 1024
+#: Members of a bucket that are compared at once; a bucket of over BLOCKS times that is compared
+#: by pairs of blocks, in many tasks.
+BLOCK, BLOCKS = 1024, 4
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -33,50 +44,49 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes; a text of fewer words is one shingle, one without a word has none."""
-    parts = (text or b"").lower().split()  # both ASCII only, as in simhash.fingerprint
-    if not parts:
-        return np.zeros(0, np.int64)
-    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    starts = np.concatenate([[0], ends[:-1]]).tolist()
-    stops = ((ends[words - 1 :] if len(parts) >= words else ends[-1:]) - 1).tolist()
-    found = np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), np.uint64, len(stops))
-    return np.unique(found.view(np.int64))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), F.encode(docs["text"], "UTF-8").alias("text"))
 
 
+def _set(h: np.ndarray) -> np.ndarray:
+    return np.unique(h.view(np.int64))
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes; a text of fewer words is one shingle, one without a word has none."""
+    return _set(simhash.shingle_hashes(text, words))
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least three texts of the sample, sorted, and their counts."""
     below = int(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 30)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "text"):
-            out = [shingles(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["s"])
+        for part in by_bytes(batches, "text", 1 << 22):
+            s, n = np.unique(np.concatenate([shingles(t) for t in part.column("text").to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["s", "n"])
 
     chosen = _texts(docs).filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < below)
-    top = chosen.mapInArrow(run, "s long").groupBy("s").count().filter("count >= 3").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
+    counts = chosen.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("count"))
+    top = counts.filter("count >= 3").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
     s, n = (top.column(c).to_numpy().astype(np.int64) for c in ("s", "count"))
     order = np.argsort(s)
     return s[order], n[order]
 
 
-def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, doc_id, cls, n, prefix) of every row: cls names its set of n shingles; prefix holds
-    the first of them in the order."""
+def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, doc_id, cls, n, fp, prefix) of every row: cls names its set of n shingles, fp is the
+    SimHash of its shingles, prefix holds the first of the set in the order."""
     names, counts = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "text"):
-            cls, sizes, out = [], [], []
+            cls, sizes, fps, out = [], [], [], []
             for text in part.column("text").to_pylist():
-                s = shingles(text)
+                h = simhash.shingle_hashes(text, WORDS)
+                s = _set(h)
                 n = len(s)
+                fps.append(simhash.majority(h))
                 cls.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(n)
                 if len(names):
@@ -84,19 +94,66 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame
                     s = s[np.lexsort((s, np.where(names[at] == s, counts[at], 0)))]
                 out.append(s[: n - -(-LEAST * n // OF) + 1] if n else s)
             prefix = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("doc_id"), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), prefix], ["key", "doc_id", "cls", "n", "prefix"]
-            )
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), signed[0], pa.array(sizes, pa.int32()), signed[1], prefix], ["key", "doc_id", "cls", "n", "fp", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, cls long, n int, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, prefix array<long>")
 
 
 ROW = ["s", "comp", "n", "pos", "cls"]
+PAIR = "a long, b long"
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            yield [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ROW]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by s, those whose s some other row has. Holds one batch and one row."""
+    last, matched = None, False
+    for cols in _columns(batches):
+        if last is not None:
+            cols = [np.concatenate(x) for x in zip(last, cols)]
+        same = cols[0][1:] == cols[0][:-1]
+        match = np.concatenate([[matched], same]) | np.concatenate([same, [False]])
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][match[:-1]]) for c in cols], ROW)
+        last, matched = [c[-1:] for c in cols], bool(match[-1])
+    if matched:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], ROW)
+
+
+def _pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """The pairs of rows i and j that can be similar, as (a, b) of classes."""
+    _, comp, n, pos, cls = cols
+    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # what can be shared from here on
+    ok = (comp[i] != comp[j]) & (OF * small >= LEAST * large) & ((OF + LEAST) * rest >= LEAST * (small + large))
+    a, b = cls[i[ok]], cls[j[ok]]
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by s: each with the first of its s and the one before. Holds one batch."""
+    held = None  # the first row of the present s, and the last row
+    for cols in _columns(batches):
+        lead = 0 if held is None else 2
+        if lead:
+            cols = [np.concatenate(x) for x in zip(*held, cols)]
+        at = np.arange(lead, len(cols[0]))
+        new = np.ones(len(at), bool)
+        new[1:] = cols[0][at[1:]] != cols[0][at[1:] - 1]
+        if lead:
+            new[0] = cols[0][lead] != cols[0][lead - 1]
+        first = np.maximum.accumulate(np.where(new, at, 0))  # 0: the one that is held
+        yield _pairs(cols, np.concatenate([first[~new], at[~new] - 1]), np.concatenate([at[~new]] * 2))
+        held = [[c[k : k + 1] for c in cols] for k in (int(first[-1]), len(cols[0]) - 1)]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Whole buckets of two rows or more from rows sorted by s: columns, starts and lengths."""
-    held = [np.zeros(0, np.int64)] * len(ROW)
 
     def whole(cols):
         starts = np.concatenate([[0], np.nonzero(np.diff(cols[0]))[0] + 1])
@@ -105,12 +162,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarra
         return cols, starts[many], lengths[many]
 
     waiting = []  # batches of one bucket that isn't complete
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ROW]
+    for cols in _columns(batches):
         waiting.append(cols)
-        if cols[0][0] == cols[0][-1] and (len(waiting) == 1 or waiting[-2][0][-1] == cols[0][0]):
+        if waiting[0][0][0] == cols[0][-1]:
             continue
         held = [np.concatenate(x) for x in zip(*waiting)]
         done = int(np.searchsorted(held[0], held[0][-1]))
@@ -120,49 +174,22 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarra
         yield whole([np.concatenate(x) for x in zip(*waiting)])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose bucket has others."""
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pair of rows of one s and different components. Holds one batch and one bucket."""
     for cols, starts, lengths in _buckets(batches):
-        at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in cols], ROW)
-
-
-def _candidates(every: bool):
-    """Pairs (a, b) of classes that can be similar: each member with the first of its bucket and
-    the one before, or ``every`` pair of members of different components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(cols, i, j):
-            _, comp, n, pos, cls = cols
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # what can be shared from here on
-            ok = (comp[i] != comp[j]) & (OF * small >= LEAST * large) & ((OF + LEAST) * rest >= LEAST * (small + large))
-            a, b = cls[i[ok]], cls[j[ok]]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        for cols, starts, lengths in _buckets(batches):
-            if not every:
-                later = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                first = np.repeat(starts, lengths)
-                later, first = later[later > first], first[later > first]
-                yield emit(cols, np.concatenate([first, later - 1]), np.concatenate([later, later]))
-                continue
-            out, size = [], 0
-            for s, m in zip(starts.tolist(), lengths.tolist()):
-                for x in range(s, s + m, BLOCK):
-                    for y in range(x, s + m, BLOCK):
-                        i, j = np.meshgrid(np.arange(x, min(x + BLOCK, s + m)), np.arange(y, min(y + BLOCK, s + m)), indexing="ij")
-                        less = i < j
-                        out.append((i[less], j[less]))
-                        size += len(out[-1][0])
-                        if size > BLOCK * BLOCK:
-                            yield emit(cols, *map(np.concatenate, zip(*out)))
-                            out, size = [], 0
-            if out:
-                yield emit(cols, *map(np.concatenate, zip(*out)))
-
-    return run
+        out, size = [], 0
+        for s, m in zip(starts.tolist(), lengths.tolist()):
+            for x in range(s, s + m, BLOCK):
+                for y in range(x, s + m, BLOCK):
+                    i, j = np.meshgrid(np.arange(x, min(x + BLOCK, s + m)), np.arange(y, min(y + BLOCK, s + m)), indexing="ij")
+                    less = i < j
+                    out.append((i[less], j[less]))
+                    size += len(out[-1][0])
+                    if size > BLOCK * BLOCK:
+                        yield _pairs(cols, *map(np.concatenate, zip(*out)))
+                        out, size = [], 0
+        if out:
+            yield _pairs(cols, *map(np.concatenate, zip(*out)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,34 +208,52 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def simhash_pairs(classes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """(a, b) of classes(cls, fp): classes of one fingerprint with the first of it, and links of
+    the covering tables between the first ones."""
+    firsts = classes.groupBy("fp").agg(F.min("cls").alias("id"))
+    same = classes.join(firsts, "fp").filter("cls != id").select(F.col("id").alias("a"), F.col("cls").alias("b"))
+    return same.unionByName(simhash.links(firsts, radius)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(key): ``row_key`` of the rows to drop, so that of each component of near copies one row
-    stays, with the smallest doc_id (null last), then the smallest key."""
-    rows = written(prefixes(docs, frequent(docs)), "near-rows")
+    stays, with the smallest doc_id (null last), then the smallest key. Texts without a word are
+    copies of each other, null ones too; rows that repeat doc_id and text stay or go together."""
+    rows = written(described(docs, frequent(docs)), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
-    classes = written(rows.groupBy("cls").agg(best, F.count("*").alias("rows")), "near-classes")
+    classes = written(rows.groupBy("cls").agg(best, F.count("*").alias("rows"), F.min("fp").alias("fp")), "near-classes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "s").sortWithinPartitions("s", "n", "cls").select(ROW)
+        return df.select(ROW).repartition(n, "s").sortWithinPartitions("s", "n", "cls")
 
     one = rows.join(classes.select(F.col("best.key").alias("key"), "cls"), ["key", "cls"], "left_semi").dropDuplicates(["cls"])
     spread = one.select("cls", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("comp", F.col("cls"))
     shared = written(by_bucket(spread).mapInArrow(_shared, ", ".join(f"{c} long" for c in ROW)), "near-buckets")
+    # similar classes share a bucket, so only those of shared buckets need their sets
     wanted = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("best.key").alias("key"))
     held = _texts(docs).join(wanted, "key").dropDuplicates(["cls"]).select("cls", "text")
     sets = written(held.mapInArrow(_sets, "cls long, set binary"), "near-sets")
 
-    def verified(found: DataFrame, every: bool) -> DataFrame:
-        pairs = by_bucket(found).mapInArrow(_candidates(every), "a long, b long").distinct()
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "near-links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(_similar, PAIR), "near-links")
 
-    # most of a large group is joined by its first links, so its other pairs needn't be formed
-    links = verified(shared, False)
+    first = simhash_pairs(classes.select("cls", "fp")).unionByName(by_bucket(shared).mapInArrow(_first_pairs, PAIR))
+    links = verified(first)
     joined = components(links).select(F.col("node").alias("cls"), "component")
-    rest = shared.join(joined, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    links = links.unionByName(verified(rest, True))
+    rest = written(shared.join(joined, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select(ROW), "near-rest")
+    # buckets with classes that aren't joined yet
+    mixed = rest.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s", "m")
+    rest = join_hot(rest, written(mixed, "near-mixed"), "s", "m", rest.count(), "inner")
+    most = BLOCK * BLOCKS
+    k = F.ceil(F.col("m") / (most // 2))
+    placed = rest.filter(F.col("m") > most).withColumn("k", k).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("k")))
+    met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("b")) * F.col("k") + F.greatest(j, F.col("b")))
+    placed = placed.withColumn("p", F.explode(met)).withColumn("s", F.xxhash64("s", "p"))
+    rest = rest.filter(F.col("m") <= most).select(ROW).unionByName(placed.select(ROW))
+    links = links.unionByName(verified(by_bucket(rest).mapInArrow(_all_pairs, PAIR)))
     found = written(components(links), "near-components").select(F.col("node").alias("cls"), "component")
     placed = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     kept = placed.groupBy("component").agg(F.min("best").alias("kept"))

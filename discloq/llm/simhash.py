@@ -27,21 +27,34 @@ BUCKET = 4096
 NO_ID = 1 << 62
 
 
-def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED, chunk: int = 1 << 15) -> int:
-    """Of UTF-8 text; 0 where it has no word."""
+def shingle_hashes(text: bytes | None, words: int = WORDS, seed: int = SEED, chunk: int = 1 << 15) -> np.ndarray:
+    """XXH64 of each shingle of UTF-8 text, repeats included; none where it has no word."""
     parts = (text or b"").lower().split()  # both ASCII only, as the white space is
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(parts) - words + 1)
     stops = (ends[words - 1 :] if len(parts) >= words else ends[-1:]) - 1
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    out, digest = np.empty(n, np.uint64), xxhash.xxh64_intdigest
     for a in range(0, n, chunk):
-        h = np.array([digest(joined[x:y], seed) for x, y in zip(starts[a : min(n, a + chunk)].tolist(), stops[a : a + chunk].tolist())], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+        z = min(n, a + chunk)
+        out[a:z] = [digest(joined[x:y], seed) for x, y in zip(starts[a:z].tolist(), stops[a:z].tolist())]
+    return out
+
+
+def majority(h: np.ndarray, chunk: int = 1 << 15) -> int:
+    """The bits that are set in over half of the hashes; 0 of none."""
+    votes = np.zeros(64, np.int64)
+    for a in range(0, len(h), chunk):
+        votes += np.unpackbits(h[a : a + chunk].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Of UTF-8 text; 0 where it has no word."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:

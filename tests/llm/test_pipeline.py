@@ -1,7 +1,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from discloq.llm import contamination, language, simhash
+from discloq.llm import contamination, language
+from tests.llm.test_near import survivors
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +30,8 @@ def test_stages_chain(spark, tmp_path):
                     best[key] = d
             assert ids == set(best.values())
         elif k == 2:
-            found = simhash.near_dups(docs).collect()
-            assert ids == {r["doc_id"] for r in found if r["component_id"] == r["doc_id"]}
+            # five words, similarity of 0.8: op8's own components are of four words and four bits
+            assert ids == {d for d, _ in survivors(sorted(mine.items()))}
         elif k == 3:
             items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             norm = lambda x: contamination.normal(x)[0].tobytes()
