@@ -37,6 +37,8 @@ SAMPLE, FREQUENT = 20_000, 1 << 16
 #: Members of a bucket that are compared at once; a bucket of over BLOCKS times that is compared
 #: by pairs of blocks, in many tasks.
 BLOCK, BLOCKS = 1024, 4
+#: Up to so many keys of texts to be verified are broadcast (8 bytes each); more are joined.
+BROADCAST = 1 << 20
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -100,14 +102,16 @@ def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFram
     return _texts(docs).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, prefix array<long>")
 
 
-ROW = ["s", "comp", "n", "pos", "cls"]
+#: A shingle, the size of a set and the shingle's place in its prefix in one number, the class,
+#: and where it matters the component.
+ROW, COMP = ["s", "size", "cls"], ["s", "size", "cls", "comp"]
 PAIR = "a long, b long"
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         if batch.num_rows:
-            yield [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ROW]
+            yield [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +130,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     """The pairs of rows i and j that can be similar, as (a, b) of classes."""
-    _, comp, n, pos, cls = cols
+    size, cls, comp = cols[1], cols[2], cols[-1]  # without components each class is its own
+    n, pos = size >> 32, size & 0xFFFFFFFF
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # what can be shared from here on
     ok = (comp[i] != comp[j]) & (OF * small >= LEAST * large) & ((OF + LEAST) * rest >= LEAST * (small + large))
@@ -222,40 +227,42 @@ def near_copies(docs: DataFrame) -> DataFrame:
     copies of each other, null ones too; rows that repeat doc_id and text stay or go together."""
     rows = written(described(docs, frequent(docs)), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
-    classes = written(rows.groupBy("cls").agg(best, F.count("*").alias("rows"), F.min("fp").alias("fp")), "near-classes")
+    same = (F.first(c).alias(c) for c in ("n", "fp", "prefix"))  # equal in all rows of a class, but for fp
+    classes = written(rows.groupBy("cls").agg(best, F.count("*").alias("rows"), *same), "near-classes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def by_bucket(df: DataFrame) -> DataFrame:
-        return df.select(ROW).repartition(n, "s").sortWithinPartitions("s", "n", "cls")
+        return df.repartition(n, "s").sortWithinPartitions("s", "size", "cls")
 
-    one = rows.join(classes.select(F.col("best.key").alias("key"), "cls"), ["key", "cls"], "left_semi").dropDuplicates(["cls"])
-    spread = one.select("cls", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("comp", F.col("cls"))
+    spread = classes.select(F.posexplode("prefix").alias("pos", "s"), "n", "cls")
+    spread = spread.select("s", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size"), "cls")
     shared = written(by_bucket(spread).mapInArrow(_shared, ", ".join(f"{c} long" for c in ROW)), "near-buckets")
-    # similar classes share a bucket, so only those of shared buckets need their sets
-    wanted = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("best.key").alias("key"))
-    held = _texts(docs).join(wanted, "key").dropDuplicates(["cls"]).select("cls", "text")
-    sets = written(held.mapInArrow(_sets, "cls long, set binary"), "near-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    def verified(found: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that are similar, by the sets of a row of each."""
+        pairs = written(found.distinct(), "near-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("best.key").alias("key"))
+        wanted = written(wanted, "near-wanted")
+        few = wanted.count() <= BROADCAST
+        held = _texts(docs).join(F.broadcast(wanted) if few else wanted, "key").dropDuplicates(["cls"]).select("cls", "text")
+        sets = written(held.mapInArrow(_sets, "cls long, set binary"), "near-sets")
+        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(_similar, PAIR), "near-links")
 
-    first = simhash_pairs(classes.select("cls", "fp")).unionByName(by_bucket(shared).mapInArrow(_first_pairs, PAIR))
-    links = verified(first)
+    links = verified(simhash_pairs(classes.select("cls", "fp")).unionByName(by_bucket(shared).mapInArrow(_first_pairs, PAIR)))
     joined = components(links).select(F.col("node").alias("cls"), "component")
-    rest = written(shared.join(joined, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select(ROW), "near-rest")
+    rest = written(shared.join(joined, "cls", "left").select(*ROW, F.coalesce("component", "cls").alias("comp")), "near-rest")
     # buckets with classes that aren't joined yet
     mixed = rest.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s", "m")
     rest = join_hot(rest, written(mixed, "near-mixed"), "s", "m", rest.count(), "inner")
     most = BLOCK * BLOCKS
-    k = F.ceil(F.col("m") / (most // 2))
-    placed = rest.filter(F.col("m") > most).withColumn("k", k).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("k")))
+    large = rest.filter(F.col("m") > most).withColumn("k", F.ceil(F.col("m") / (most // 2))).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("k")))
     met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("b")) * F.col("k") + F.greatest(j, F.col("b")))
-    placed = placed.withColumn("p", F.explode(met)).withColumn("s", F.xxhash64("s", "p"))
-    rest = rest.filter(F.col("m") <= most).select(ROW).unionByName(placed.select(ROW))
+    large = large.withColumn("p", F.explode(met)).withColumn("s", F.xxhash64("s", "p"))
+    rest = rest.filter(F.col("m") <= most).select(COMP).unionByName(large.select(COMP))
     links = links.unionByName(verified(by_bucket(rest).mapInArrow(_all_pairs, PAIR)))
     found = written(components(links), "near-components").select(F.col("node").alias("cls"), "component")
-    placed = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = classes.select("cls", "best", "rows").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     kept = placed.groupBy("component").agg(F.min("best").alias("kept"))
     named = placed.join(kept, "component").select("cls", "rows", F.col("kept.key").alias("kept"))
     out = join_hot(rows.select("key", "cls"), named, "cls", "rows", rows.count(), "inner")
