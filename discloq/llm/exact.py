@@ -1,8 +1,10 @@
 """Exact dedup by two Bloom passes, in DataFrame operations only.
 
-The first pass sets, for two hashes of every text, cells of a counting Bloom filter and keeps
-as bits the cells that were hit twice. The second pass tests every row against those bits: rows
-without both of theirs are certainly unique and pass straight through; only the others shuffle.
+The first pass counts, in a Bloom filter of 256 cells a row, the cells that two rows hit. It is
+kept sparse: cell numbers, pre-aggregated in each task, are all that moves, which is 8 bytes a
+row before compression. (A dense filter in each of T tasks would move 32 T bytes a row.)
+The second pass tests every row against a Bloom filter of those cells: rows without their bit
+are certainly unique and pass straight through; only the others shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from pyspark.sql import functions as F
 from discloq.llm.common import HOT_SHARE, table
 from discloq.session import written
 
-#: Cells for each row and hash, and the largest number of cells. The bits that are broadcast
-#: take 64 cells a row of two longs: at most 2**21 rows. A fuller filter lets more unique rows
-#: shuffle; results don't change.
-CELLS_A_ROW, MOST_CELLS = 16, 1 << 26
+#: Cells for each row in the first pass, bits for each repeated cell in the second.
+CELLS_A_ROW, BITS_A_CELL = 256, 64
+#: The bits of the second pass are broadcast, so they are at most 2**27, as 2**21 longs. With
+#: more than that many repeated texts more unique rows shuffle too; results don't change.
+MOST_BITS = 1 << 27
 SPACE = r"[\x20\x09-\x0D]"
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -26,25 +29,30 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, ""), "UTF-8"), 256)
 
 
-def _bits(cells: int) -> list[Column]:
-    return [F.pmod(F.xxhash64("_sha", F.lit(k)), F.lit(cells)) + k * cells for k in range(2)]
+def _cell(cells: int) -> Column:
+    return F.pmod(F.xxhash64("_sha"), F.lit(cells))
 
 
-def repeated_bits(signed: DataFrame, cells: int) -> DataFrame:
-    """(_word, _set): the bits of cells hit at least twice, 64 to a word."""
-    hits = signed.select(F.explode(F.array(*_bits(cells))).alias("_bit")).groupBy("_bit").agg(F.count("*").alias("_n")).filter("_n > 1")
-    return hits.groupBy(F.expr("_bit div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_set"))
+def repeated_cells(signed: DataFrame, cells: int) -> DataFrame:
+    """(_cell): the cells hit at least twice."""
+    return signed.groupBy(_cell(cells).alias("_cell")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_cell")
 
 
-def possibly_repeated(rows: DataFrame, bits: DataFrame, cells: int) -> DataFrame:
-    """``rows`` with _maybe: both bits of _sha are set."""
-    test = F.lit(True)
-    for k, bit in enumerate(_bits(cells)):
-        words = bits.select(F.col("_word").alias(f"_word{k}"), F.col("_set").alias(f"_set{k}"))
-        rows = rows.withColumn(f"_bit{k}", bit).withColumn(f"_word{k}", F.expr(f"_bit{k} div 64"))
-        rows = rows.join(F.broadcast(words), f"_word{k}", "left")
-        test = test & (F.expr(f"shiftright(coalesce(_set{k}, 0L), cast(_bit{k} % 64 as int)) & 1") == 1)
-    return rows.withColumn("_maybe", test).drop(*(f"{n}{k}" for n in ("_bit", "_word", "_set") for k in range(2)))
+def _bit(cell: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(cell), F.lit(bits))
+
+
+def bits_of(found: DataFrame, bits: int) -> DataFrame:
+    """(_word, _set): a Bloom filter of the cells, 64 bits to a word."""
+    placed = found.select(_bit(F.col("_cell"), bits).alias("_bit"))
+    return placed.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit & 63 as int)))").alias("_set"))
+
+
+def possibly_repeated(rows: DataFrame, words: DataFrame, cells: int, bits: int) -> DataFrame:
+    """``rows`` with _maybe: the bit of the cell of _sha is set."""
+    rows = rows.withColumn("_bit", _bit(_cell(cells), bits)).withColumn("_word", F.shiftright("_bit", 6))
+    rows = rows.join(F.broadcast(words), "_word", "left")
+    return rows.withColumn("_maybe", F.expr("shiftright(coalesce(_set, 0L), cast(_bit & 63 as int)) & 1") == 1).drop("_bit", "_word", "_set")
 
 
 def exact_dedup(docs: DataFrame, carry: bool = True) -> DataFrame:
@@ -59,14 +67,16 @@ def exact_dedup(docs: DataFrame, carry: bool = True) -> DataFrame:
     own = {f"_own{k}": c for k, c in enumerate(docs.drop(*OUT).columns if carry else ["doc_id"])}
     signed = written(docs.select("doc_id", digest(F.col("text")).alias("_sha"), F.length(F.coalesce("text", F.lit(""))).alias("_long")), "exact")
     total = signed.count()
-    cells = min(MOST_CELLS, 1 << max(16, (CELLS_A_ROW * total).bit_length()))
-    bits = written(repeated_bits(signed, cells), "exact-bits")
-    maybe = possibly_repeated(signed, bits, cells).filter("_maybe")
+    cells = 1 << (CELLS_A_ROW * max(1, total)).bit_length()
+    found = written(repeated_cells(signed, cells), "exact-cells")
+    bits = min(MOST_BITS, 1 << max(16, (BITS_A_CELL * found.count()).bit_length()))
+    words = written(bits_of(found, bits), "exact-bits")
+    maybe = possibly_repeated(signed, words, cells, bits).filter("_maybe")
     best = F.max(F.struct("_long", (-F.col("doc_id")).alias("_less")))
     groups = written(maybe.groupBy("_sha").agg(F.count("*").alias("_size"), best.alias("_best")).select("_sha", "_size", (-F.col("_best._less")).alias("_keep")), "exact-groups")
     limit = max(32, total // HOT_SHARE)
     rows = docs.select("doc_id", *(F.col(f"`{c}`").alias(k) for k, c in own.items()), digest(F.col("text")).alias("_sha")) if carry else signed.select("doc_id", F.col("doc_id").alias("_own0"), "_sha")
-    rows = possibly_repeated(rows, bits, cells)
+    rows = possibly_repeated(rows, words, cells, bits)
     # groups above the limit: at most HOT_SHARE of them
     rows = rows.join(F.broadcast(groups.filter(F.col("_size") > limit)), "_sha", "left")
     straight = rows.filter(~F.col("_maybe") | F.col("_size").isNotNull())

@@ -55,7 +55,7 @@ def test_exact_dedup_edges(spark):
 
 
 def test_exact_dedup_full_filter_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(exact, "MOST_CELLS", 64)  # every row is possibly repeated
+    monkeypatch.setattr(exact, "MOST_BITS", 64)  # every row is possibly repeated
     few = {tuple(r) for r in exact.exact_dedup(all_docs(spark), carry=False).collect()}
     monkeypatch.undo()
     assert few == {tuple(r) for r in exact.exact_dedup(all_docs(spark), carry=False).collect()}
