@@ -20,11 +20,6 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without those that ``gone(doc_id)`` names; columns keep their order."""
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the network knows."""
     net = language.train(*language.training_rows(docs))
@@ -34,23 +29,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat its doc_id and text stay."""
+    """One row of each group of equal texts: of those that have the doc_id that stays (or none,
+    where none of the group has one) the longest, then the greatest text and other columns."""
     plain, names = set_aside(docs)
-    return exact.exact_dedup(plain).filter("kept").select(plain.columns).withColumnsRenamed(names)
+    kept = exact.exact_dedup(plain).filter("kept")
+    row = F.struct(*(F.col(c) for c in plain.columns))
+    order = F.struct(F.length("text").alias("a"), F.col("text").alias("b"), F.to_json(row).alias("c"))
+    groups = kept.filter("group_size > 1").groupBy("text_sha256").agg(F.max_by(row, order).alias("row")).select("row.*")
+    return kept.filter("group_size = 1").select(plain.columns).unionByName(groups).withColumnsRenamed(names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: five-word shingles, similarity 0.8 or more, both
-    exact. It has the component's smallest doc_id; rows that repeat its doc_id and text stay."""
+    """One row of each component of near copies, of five-word shingles and a similarity of 0.8 or
+    more: links of SimHash within its radius, then all others, each verified. It has the
+    component's smallest doc_id; rows that repeat its doc_id and text stay."""
     gone = written(near.near_copies(docs), "near-copies")
     return docs.join(gone, near.row_key(docs) == gone["key"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark. A document without a doc_id can't be named
-    and stays; of several with one doc_id all go or none."""
-    hits = written(contamination.find_passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "passages")
-    return without(docs, hits)
+    """Rows without a passage of the benchmark; rows go by their doc_id and text, either of which
+    may be null."""
+    keyed = docs.select(near.row_key(docs).alias("doc_id"), "text")
+    hits = written(contamination.find_passages(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct(), "passages")
+    return docs.join(hits, near.row_key(docs) == hits["key"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
