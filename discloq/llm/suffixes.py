@@ -1,30 +1,35 @@
 """Repeated substrings by difference-cover suffix sorting, for texts of many documents.
 
-Which 50-byte strings occur in several documents is found in four steps.
+Which 50-byte strings occur in several documents is found in five steps. Texts are first written
+once, as compressed chunks of whole documents, each with a number.
 
 1. Every 50-byte string has an anchor: of its 24-byte pieces the one with the least hash, the
-   first of equal ones. Equal strings have equal anchors at the same place. One scan finds the
-   hash cells whose anchors occur in two documents; only their strings can repeat.
-2. A second scan sends the surroundings of such anchors to the task that has their hash. So
-   equal strings meet in a task, and all tasks together hold each string that can repeat.
-3. Each task sorts the suffixes of the different surroundings by a difference cover modulo 3:
+   first of equal ones. Equal strings have equal anchors at the same place. The cells of anchors
+   (hashes, of more bits the larger the input is) go to tasks by range, which see those that two
+   documents have; only their strings can repeat.
+2. Which anchors those are goes back to the chunks, by chunk number.
+3. The chunks send the surroundings of such anchors to the task that has their range. So equal
+   strings meet in a task, and all tasks together hold each string that can repeat.
+4. Each task sorts the suffixes of the different surroundings by a difference cover modulo 3:
    it sorts the sampled triples, recurses on their names, merges the remaining suffixes and
    compares adjacent prefixes. Equal prefixes get the smallest document that has one.
-4. What a document loses goes back to its text.
+5. What a document loses goes back to its chunk.
 
-Rows move as packed arrays, a few for each pair of tasks. Anchors of very many documents are
-resolved apart: their different surroundings are aggregated first, and documents join the
-result through a join that is safe for hot keys.
+Rows move as packed arrays, a few for each pair of tasks. Nothing is broadcast but the cells of
+very many documents, which are few by their definition; those are resolved apart: their different
+surroundings are aggregated first, and documents join the result through a join that is safe for
+hot keys. Tasks work on one range (about RANGE bytes of text) at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +39,13 @@ from discloq.session import written
 
 LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE + 1
-#: The bits of the cells that are broadcast: one for every two bytes of text, at most 2**30
-#: (128 MB). A fuller filter sends more surroundings; results don't change.
-MOST_BITS = 30
-#: An anchor of more documents is hot. Below, a task holds some 35 bytes for each of them.
-HOT_DOCS = 100_000
+#: Bytes of text for each range of hashes: what a task works on at a time.
+RANGE = 1 << 23
+#: Ranges go to so many tasks at most; a task takes its ranges one after the other.
+MOST_TASKS = 20_000
+#: An anchor of more documents than this, and than one in 2**HOT_BITS of all bytes of text, is
+#: hot. So at most 2**HOT_BITS cells are hot, and below a task holds some 60 bytes for each.
+HOT_DOCS, HOT_BITS = 100_000, 21
 #: Bytes of surroundings that are sorted at a time.
 CHUNK = 1 << 20
 #: Where the numbers begin that order rows without a doc_id, by a hash, after all others.
@@ -209,7 +216,7 @@ def anchors(joined: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
 PART = 1 << 19
 
 
-def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def parts_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, bounds, row of each document, offset in its text) for groups of whole texts, or
     parts of one long text that overlap by LENGTH - 1."""
     held: list[tuple[bytes, int, int]] = []
@@ -219,8 +226,7 @@ def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         sizes = [len(b) for b, _, _ in held]
         return (np.frombuffer(b"".join(b for b, _, _ in held), np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([r for _, r, _ in held]), np.array([o for _, _, o in held]))
 
-    for row, text in enumerate(batch.column("text").to_pylist()):
-        text = text or b""
+    for row, text in enumerate(texts):
         for a in range(0, max(1, len(text) - LENGTH + 1), PART):
             piece = text[a : a + PART + LENGTH - 1]
             held.append((piece, row, a))
@@ -232,31 +238,30 @@ def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield packed()
 
 
-# --- the two scans ----------------------------------------------------------------------------
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    row = F.xxhash64("doc_id", "text")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC) + F.pmod(row, F.lit(NO_DOC)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), row.bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), body.alias("text"))
+# --- chunks -----------------------------------------------------------------------------------
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of fixed types as one compressed value."""
-    out = b"".join(np.array([len(x) * x.itemsize], "<i8").tobytes() + x.tobytes() for x in arrays)
-    return zlib.compress(out, 1)
+    """Arrays of fixed types as one compressed value, the first bytes of all numbers first."""
+    out = b"".join(np.array([len(x)], "<i8").tobytes() + np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(out)
 
 
 def _unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
-    data, out, at = zlib.decompress(blob), [], 0
+    data, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
     for t in types:
-        n = int(np.frombuffer(data, "<i8", 1, at)[0])
-        out.append(np.frombuffer(data, t, n // np.dtype(t).itemsize, at + 8))
-        at += 8 + n
+        n, size = int(np.frombuffer(data, "<i8", 1, at)[0]), np.dtype(t).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at + 8).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(t).ravel() if n else np.zeros(0, t))
+        at += 8 + n * size
     return out
 
 
+BLOB = "bucket int, blob binary"
+FLUSH = 1 << 20
+CHUNK_TYPES = ("u1", "<i8", "<i8", "<i8", "u1")
+
+
 def _blobs(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -270,75 +275,181 @@ def _split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[
         yield b, [x[a:z] for x in arrays]
 
 
-BLOB = "bucket int, blob binary"
-FLUSH = 1 << 20
+def _home(chunk, buckets: int):
+    """The bucket of a chunk."""
+    return (chunk ^ (chunk >> 32)) % buckets
+
 
+def chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, blob): whole documents, about PART bytes to a chunk; each with whether it
+    has a doc_id, its doc_id, its place in the order of documents and its size."""
 
-def repeated_cells(rows: DataFrame, bits: int, tasks: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of the cells of anchors in two documents or more, cells in over ``hot`` of them).
-    The first has a fixed size; the second has at most all anchors / hot entries."""
-    slices = 8  # 2**slices ranges of cells
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId() << 32, 0
+        held, size = [], 0
+
+        def packed():
+            nonlocal made
+            known = np.array([i is not None for i, _, _ in held], np.uint8)
+            ids = np.array([i or 0 for i, _, _ in held], "<i8")
+            blob = _packed(known, ids, np.array([d for _, d, _ in held], "<i8"), np.array([len(t) for *_, t in held], "<i8"), np.frombuffer(b"".join(t for *_, t in held), np.uint8))
+            made += 1
+            return pa.RecordBatch.from_arrays([pa.array([task + made], pa.int64()), pa.array([_home(task + made, buckets)], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "bucket", "blob"])
+
+        for batch in by_bytes(batches, "text", PART):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc", "text"))):
+                held.append(row)
+                size += len(row[2]) + 64
+                if size >= PART:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
+
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    nameless = F.lit(NO_DOC) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(NO_DOC))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"), body.alias("text"))
+    return written(rows.mapInArrow(run, "chunk long, bucket int, blob binary"), "suffix-chunks")
+
+
+class Chunk:
+    """Documents of a chunk, and the anchors of each of its groups of parts in their order."""
+
+    def __init__(self, blob: bytes):
+        known, ids, self.doc, sizes, data = _unpacked(blob, *CHUNK_TYPES)
+        self.ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist())]
+        ends = np.cumsum(sizes)
+        raw = data.tobytes()
+        self.texts = [raw[a:z] for a, z in zip((ends - sizes).tolist(), ends.tolist())]
+
+    def groups(self):
+        yield from parts_of(self.texts)
+
+
+def _first_of(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of cells ``h`` in documents ``doc``: where each different pair is first, and for each row
+    its pair."""
+    key = (h + U(1)) * U(0x9E3779B97F4A7C15) ^ (doc.astype(U) + U(1)) * U(0xBF58476D1CE4E5B9)
+    _, first, pair = np.unique(key ^ (key >> U(32)), return_index=True, return_inverse=True)
+    return first, pair
+
+
+# --- which anchors can repeat -----------------------------------------------------------------
+
+#: What a blob of cells holds: kind, cells as steps, how many documents of the sender have each,
+#: the sender's place (an index of its chunks and an anchor there) where only one has it.
+CELLS = ("<u8", "<u4", "<u2", "<u4", "<i8")
+NOWHERE = 0xFFFF
+#: What a blob of answers holds: chunks, and anchors of them that can repeat.
+ANSWERS = ("<i8", "<u4")
+
+
+def repeated_anchors(parts: DataFrame, bits: int, buckets: int, tasks: int, hot: int) -> DataFrame:
+    """(bucket, blob, hot): by the bucket of their chunks, the anchors that can repeat; and, apart,
+    the cells of more than ``hot`` documents.
+
+    A sender names each cell once. One that two of its own documents have it marks as repeated
+    by itself and says so to the task of the cell, so no task gets a cell of many documents
+    more often than there are senders.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
-            cells, n = np.unique(np.concatenate(held), return_counts=True)
-            out = [(b, _packed(np.diff(c, prepend=np.uint32(0)).astype("<u4"), np.minimum(k, 65535).astype("<u2"))) for b, (c, k) in _split(cells >> np.uint32(bits - slices), cells.astype(np.uint32), n)]
+            h, chunk, place = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(h, kind="stable")
+            h, chunk, place = h[order], chunk[order], place[order]
+            heads = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+            n = np.diff(np.append(heads, len(h)))
+            several = np.repeat(n > 1, n)
+            out = []
+            for b, (c, p) in _split(_home(chunk[several], buckets), chunk[several], place[several].astype("<u4")):
+                out.append((b, b"a" + _packed(c, p)))  # answers: they only pass through
+            one = n == 1
+            range_of = ((h[heads] >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+            for b, (cell, k, c, p, alone) in _split(range_of, h[heads] >> U(64 - bits), n, chunk[heads], place[heads], one):
+                named, index = np.unique(c, return_inverse=True)
+                index[~alone], p[~alone] = NOWHERE, 0
+                out.append((b, b"c" + _packed(np.diff(cell, prepend=U(0)), k.astype("<u4"), index.astype("<u2"), p.astype("<u4"), named)))
             return _blobs([b for b, _ in out], [x for _, x in out])
 
-        for batch in by_bytes(batches, "text", PART):
-            for joined, starts, _, _ in parts_of(batch):
-                h, _, _, _, doc, _ = anchors(joined, starts)
-                cells = np.unique(doc.astype(U) << U(32) | h >> U(64 - bits)).astype(np.uint32)
-                held.append(cells)
-                size += len(cells)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
+        for batch in batches:
+            for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist()):
+                before = 0
+                for joined, starts, owner, _ in Chunk(blob).groups():
+                    h, _, _, _, doc, _ = anchors(joined, starts)
+                    first, _ = _first_of(h >> U(64 - bits), owner[doc])
+                    held.append(((h[first] >> U(64 - bits)) << U(64 - bits), np.full(len(first), number), first + before))
+                    before += len(h)
+                    size += len(first)
+                if size >= FLUSH or len(held) > 4096:
+                    yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
+    def merged(blobs: list[bytes]) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+        cell, n, chunk, place = [], [], [], []
+        for x in blobs:
+            steps, k, index, p, named = _unpacked(x, *CELLS)
+            cell.append(np.cumsum(steps, dtype=U))
+            n.append(k)
+            chunk.append(np.append(named, -1)[np.where(index == NOWHERE, len(named), index)])
+            place.append(p)
+        cell, n, chunk, place = (np.concatenate(c) for c in (cell, n, chunk, place))
+        order = np.argsort(cell, kind="stable")
+        cell, chunk, place = cell[order], chunk[order], place[order]
+        heads = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
+        total = np.add.reduceat(n[order].astype(np.int64), heads)
+        many = cell[heads][total > hot]
+        if len(many):
+            yield 0, None, many.astype("<u8").tobytes()
+        ask = np.repeat(total > 1, np.diff(np.append(heads, len(cell)))) & (chunk >= 0)
+        for b, (c, p) in _split(_home(chunk[ask], buckets), chunk[ask], place[ask]):
+            yield b, _packed(c, p), None
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 1 << (bits - slices)
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                cells, n = _unpacked(blob, "<u4", "<u2")
-                if b not in counts:
-                    counts[b] = np.zeros(width, np.uint32)
-                counts[b][np.cumsum(cells, dtype=np.uint32) - np.uint32(b * width)] += n
-        for b, c in counts.items():
-            yield _blobs([b], [_packed(np.packbits(c > 1, bitorder="little"), (np.nonzero(c > hot)[0] + b * width).astype("<u4"))])
-
-    found = rows.select("text").mapInArrow(count, BLOB).repartition(tasks, "bucket").mapInArrow(merge, BLOB)
-    seen, many = np.zeros(1 << (bits - 3), np.uint8), []
-    for r in found.toLocalIterator():
-        part, cells = _unpacked(bytes(r["blob"]), "u1", "<u4")
-        seen[r["bucket"] * len(part) : (r["bucket"] + 1) * len(part)] = part
-        many.append(cells)
-    return seen, np.sort(np.concatenate([np.zeros(0, np.uint32), *many]))
-
-
-def surroundings(joined, starts, seen, bits, hot, want_hot):
-    """For each anchor of a repeated cell: hash, hash of the surroundings, document, first
-    string, number of strings, and the surroundings' bounds."""
-    h, place, first, count, doc, hashes = anchors(joined, starts)
-    cell = h >> U(64 - bits)
-    keep = (seen[cell >> U(3)] >> (cell & U(7)).astype(np.uint8) & 1).astype(bool)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, cell[keep]), len(hot) - 1)
-        keep[np.nonzero(keep)[0][(hot[at] == cell[keep]) != want_hot]] = False
-    elif want_hot:
-        keep[:] = False
-    h, place, first, count, doc = (x[keep] for x in (h, place, first, count, doc))
-    end = first + count + LENGTH - 1
-    # at most 2 LENGTH - PIECE = 76 bytes: pieces at four places cover them
-    last, code = end - PIECE, place.astype(U) - first.astype(U) + (count.astype(U) << U(8))
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "blob", "hot"])
+
+        for b, blobs in _by_bucket(batches, "blob"):
+            passed = [(b, x[1:], None) for x in blobs if x[:1] == b"a"]
+            if passed:
+                yield out(passed)
+            mine = [x[1:] for x in blobs if x[:1] == b"c"]
+            if mine:
+                yield out(list(merged(mine)))
+
+    dealt = parts.select("chunk", "blob").mapInArrow(count, BLOB).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return written(dealt.mapInArrow(merge, BLOB + ", hot binary"), "suffix-anchors")
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The values of each bucket, from rows sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for b, x in zip(batch.column("bucket").to_pylist(), batch.column(column).to_pylist()):
+            if b != now and held:
+                yield now, held
+                held = []
+            now = b
+            held.append(x)
+    if held:
+        yield now, held
+
+
+# --- surroundings -----------------------------------------------------------------------------
+
+
+def _code(hashes: np.ndarray, place, first, count) -> np.ndarray:
+    """A hash of surroundings and of the anchor's place in them. They are at most
+    2 LENGTH - PIECE = 76 bytes: pieces at four places cover them."""
+    last, code = first + count + LENGTH - 1 - PIECE, place.astype(U) - first.astype(U) + (count.astype(U) << U(8))
     for k in range(4):
         code = (code ^ hashes[np.minimum(first + k * PIECE, last)]) * U(0x9FB21C651E98DF25)
         code ^= code >> U(31)
-    return h, code, doc, first, count, end
+    return code
 
 
 def _gather(joined: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -347,17 +458,17 @@ def _gather(joined: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarra
     return joined[np.repeat(first - begin[:-1], sizes) + np.arange(begin[-1])]
 
 
-TYPES = ("<u4", "<u4", "<u2", "<i8", "<u4", "<i8", "u1", "u1", "u1")
+TYPES = ("<u8", "<u4", "<u2", "<i8", "<i8", "<u4", "<i8", "u1", "u1", "u1")
 
 
 def _mine(held: list[tuple]) -> list[np.ndarray]:
-    """Columns of the held rows: anchor, code, doc, row, start, count, has bytes, bytes; bytes
-    only with the first row of each code."""
-    h, code, doc, row, start, count, data, sizes = (np.concatenate(c) for c in zip(*held))
+    """Columns of the held rows: anchor, code, doc, chunk, index there, start, count, has bytes,
+    bounds of its bytes, bytes; bytes only with the first row of each code."""
+    h, code, doc, chunk, index, start, count, data, sizes = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((doc, code, h))
     first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (code[order][1:] != code[order][:-1])])
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    return [h[order], code[order], doc[order], row[order], start[order], count[order].astype(np.uint8), first, begin[:-1][order], sizes[order], data]
+    return [h[order], code[order], doc[order], chunk[order], index[order], start[order], count[order].astype(np.uint8), first, begin[:-1][order], sizes[order], data]
 
 
 def repeated_strings(h, code, doc, count, has, data):
@@ -394,8 +505,8 @@ def repeated_strings(h, code, doc, count, has, data):
     return number, out, first
 
 
-def _spans(number, doc, row, start, count, least, first):
-    """(document, row, from, to) of what documents lose to smaller ones."""
+def _spans(number, doc, chunk, index, start, count, least, first):
+    """(chunk, index, from, to) of what documents lose to smaller ones."""
     width = count.astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(width)])
     slots = np.repeat(first[number] - begin[:-1], width) + np.arange(begin[-1])
@@ -406,73 +517,111 @@ def _spans(number, doc, row, start, count, least, first):
     last = np.concatenate([edge[1:], [True]]) if len(owner) else edge
     off = np.nonzero(lost & (last | ~np.concatenate([lost[1:], [False]])))[0]
     who = owner[on]
-    return doc[who], row[who], start[who] + on - begin[who], start[who] + off - begin[who] + LENGTH
+    return chunk[who], index[who], start[who] + on - begin[who], start[who] + off - begin[who] + LENGTH
+
+
+SPANS = ("<i8", "<u4", "<i8", "<i8")
 
 
-def _span_blobs(doc, row, a, z, buckets):
-    order = np.lexsort((a, row, doc))
-    out = [(b, _packed(*x)) for b, x in _split(np.mod(doc[order], buckets), doc[order].astype("<i8"), row[order].astype("<u4"), a[order].astype("<i8"), (z - a)[order].astype("<i8"))]
+def _span_blobs(chunk, index, a, z, buckets):
+    out = [(b, _packed(*x)) for b, x in _split(_home(chunk, buckets), chunk.astype("<i8"), index.astype("<u4"), a.astype("<i8"), (z - a).astype("<i8"))]
     return _blobs([b for b, _ in out], [x for _, x in out])
 
 
-def _scan(shared, bits: int, buckets: int, want_hot: bool, emit):
+def _with_rows(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[tuple[int, Chunk, list[np.ndarray]]]:
+    """From rows (bucket, kind, chunk, blob) sorted by bucket and kind, blobs before chunks: each
+    chunk with its number and the blobs' rows of it, without the chunk's number."""
+    now, held, ready = None, [], None
+    for batch in batches:
+        for b, number, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "blob"))):
+            if b != now:
+                now, held, ready = b, [], None
+            if number is None:
+                held.append(blob)
+                continue
+            if ready is None:
+                cols = [np.concatenate(c) for c in zip(*(_unpacked(x, *types) for x in held))] if held else [np.zeros(0, t) for t in types]
+                order = np.argsort(cols[0], kind="stable")
+                held, ready = [], [c[order] for c in cols]
+            lo, hi = (int(np.searchsorted(ready[0], number, side)) for side in ("left", "right"))
+            yield number, Chunk(blob), [c[lo:hi] for c in ready[1:]]
+
+
+def _laid(parts: DataFrame, blobs: DataFrame, tasks: int) -> DataFrame:
+    """Chunks and the blobs for them, as ``_with_rows`` takes them."""
+    mine = parts.select("bucket", F.lit(1).alias("kind"), "chunk", "blob")
+    more = blobs.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "blob")
+    return mine.unionByName(more).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").drop("kind")
+
+
+def _scan(hot, bits: int, buckets: int, want_hot: bool, emit):
+    """Rows of anchors that can repeat, with their surroundings: hot ones, or all others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, hot = shared.value
+        cells = hot.value
         held, size = [], 0
-        for batch in by_bytes(batches, "text", PART):
-            docs, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
-            for joined, starts, owner, offset in parts_of(batch):
-                h, code, doc, first, count, end = surroundings(joined, starts, seen, bits, hot, want_hot)
-                if len(h):
-                    who = owner[doc]
-                    held.append((h, code, docs[who], rows[who], first - starts[doc] + offset[doc], count, _gather(joined, first, end), end - first))
-                    size += len(h)
-            if size >= FLUSH // 2:
-                yield emit(_mine(held), buckets)
+        for number, chunk, (wanted,) in _with_rows(batches, ANSWERS):
+            before = 0
+            wanted = np.sort(wanted).astype(np.int64)
+            for joined, starts, owner, offset in chunk.groups():
+                h, place, first, count, doc, hashes = anchors(joined, starts)
+                lo, hi = np.searchsorted(wanted, [before, before + len(h)])
+                mine = wanted[lo:hi] - before
+                before += len(h)
+                if not len(mine):
+                    continue
+                cell, who = h >> U(64 - bits), owner[doc]
+                _, pair = _first_of(cell, who)
+                asked = np.zeros(int(pair.max()) + 1, bool)
+                asked[pair[mine]] = True
+                keep = asked[pair]
+                if len(cells):
+                    keep &= (cells[np.minimum(np.searchsorted(cells, cell), len(cells) - 1)] == cell) == want_hot
+                elif want_hot:
+                    keep[:] = False
+                if not keep.any():
+                    continue
+                h, place, first, count, doc, who = (x[keep] for x in (h, place, first, count, doc, who))
+                end = first + count + LENGTH - 1
+                held.append((h, _code(hashes, place, first, count), chunk.doc[who], np.full(len(h), number), who, first - starts[doc] + offset[doc], count, _gather(joined, first, end), end - first))
+                size += len(h)
+            if size > FLUSH // 2:
+                yield emit(_mine(held), bits, buckets)
                 held, size = [], 0
         if size:
-            yield emit(_mine(held), buckets)
+            yield emit(_mine(held), bits, buckets)
 
     return run
 
 
-def _emit_packed(cols, buckets):
-    """Buckets are ranges of the anchor's first 32 bits, of which rows hold the steps. 48 bits of
-    the code do. Anchors that agree in 32 bits are sorted together, which changes nothing."""
-    h, code, doc, row, start, count, first, begin, sizes, data = cols
-    short = h >> U(32)
+def _emit_packed(cols, bits, buckets):
+    """Buckets are ranges of the anchor's hash, of which rows hold the steps of bits + 8 bits,
+    and 48 bits of the code."""
+    h, code, doc, chunk, index, start, count, first, begin, sizes, data = cols
+    range_of = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+    short = h >> U(max(0, 56 - bits))
     out = []
-    for b, (i,) in _split((short * U(buckets) >> U(32)).astype(np.int32), np.arange(len(h))):
+    for b, (i,) in _split(range_of, np.arange(len(h))):
         with_bytes = i[first[i]]
         text = _gather(data, begin[with_bytes], begin[with_bytes] + sizes[with_bytes])
-        steps = np.diff(short[i], prepend=U(0)).astype("<u4")
-        out.append((b, _packed(steps, (code[i] >> U(32)).astype("<u4"), (code[i] >> U(16) & U(0xFFFF)).astype("<u2"), doc[i].astype("<i8"), row[i].astype("<u4"), start[i].astype("<i8"), count[i], first[i].astype(np.uint8), text)))
+        steps = np.diff(short[i], prepend=U(0))
+        out.append((b, _packed(steps, (code[i] >> U(32)).astype("<u4"), (code[i] >> U(16) & U(0xFFFF)).astype("<u2"), doc[i].astype("<i8"), chunk[i].astype("<i8"), index[i].astype("<u4"), start[i].astype("<i8"), count[i], first[i].astype(np.uint8), text)))
     return _blobs([b for b, _ in out], [x for _, x in out])
 
 
 def _solve_packed(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                groups.setdefault(b, []).append(blob)
-        held, size = [], 0
-        while groups:
-            _, blobs = groups.popitem()
-            held.append(_solved([_unpacked(x, *TYPES) for x in blobs]))
-            size += len(held[-1][0])
-            if size > FLUSH or not groups:
-                yield _span_blobs(*(np.concatenate(c) for c in zip(*held)), buckets)
-                held, size = [], 0
+        for _, blobs in _by_bucket(batches, "blob"):
+            yield _span_blobs(*_solved([_unpacked(x, *TYPES) for x in blobs]), buckets)
 
     return run
 
 
 def _solved(parts: list[list[np.ndarray]]):
     """What documents lose by the rows of one bucket; bytes are put in the order of rows first."""
-    h = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts]).astype(U)
+    h = np.concatenate([np.cumsum(p[0], dtype=U) for p in parts])
     code = np.concatenate([p[1].astype(U) << U(16) | p[2].astype(U) for p in parts])
-    doc, row, start, count, has, data = (np.concatenate([p[k] for p in parts]) for k in range(3, 9))
+    doc, chunk, index, start, count, has, data = (np.concatenate([p[k] for p in parts]) for k in range(3, 10))
     has = has.astype(bool)
     sizes = np.where(has, count.astype(np.int64) + LENGTH - 1, 0)
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -488,19 +637,21 @@ def _solved(parts: list[list[np.ndarray]]):
     keep = has[order]
     text = _gather(data, begin[order][keep], (begin + sizes)[order][keep])
     number, least, first = repeated_strings(h[order], code[order], doc[order], count[order], keep, text)
-    return _spans(number, doc[order], row[order], start[order], count[order], least, first)
+    return _spans(number, doc[order], chunk[order], index[order], start[order], count[order], least, first)
 
 
 # --- hot anchors ------------------------------------------------------------------------------
 
-HOT_ROW = "anchor long, code long, doc long, row long, start long, count int, body binary"
+HOT_ROW = "anchor long, code long, doc long, chunk long, index long, start long, count int, body binary"
+PLACE = ("doc", "chunk", "index", "start", "count")
 
 
-def _emit_rows(cols, buckets):
-    h, code, doc, row, start, count, first, begin, sizes, data = cols
+def _emit_rows(cols, bits, buckets):
+    h, code, doc, chunk, index, start, count, first, begin, sizes, data = cols
     raw = data.tobytes()
     bodies = [raw[a : a + n] if f else None for a, n, f in zip(begin.tolist(), sizes.tolist(), first.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start), pa.array(count.astype(np.int32)), pa.array(bodies, pa.binary())], ["anchor", "code", "doc", "row", "start", "count", "body"])
+    values = [pa.array(x) for x in (h.view(np.int64), code.view(np.int64), doc, chunk, index.astype(np.int64), start, count.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*values, pa.array(bodies, pa.binary())], ["anchor", "code", *PLACE, "body"])
 
 
 def _solve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,27 +675,26 @@ def _lose_rows(buckets: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, row, start, count = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row", "start", "count"))
-            lists = batch.column("least")
-            least = lists.flatten().to_numpy(zero_copy_only=False)
+            doc, chunk, index, start, count = (batch.column(c).to_numpy(zero_copy_only=False) for c in PLACE)
+            least = batch.column("least").flatten().to_numpy(zero_copy_only=False)
             first = np.concatenate([[0], np.cumsum(count.astype(np.int64))])
-            yield _span_blobs(*_spans(np.arange(len(doc)), doc, row, start, count, least, first), buckets)
+            yield _span_blobs(*_spans(np.arange(len(doc)), doc, chunk, index, start, count, least, first), buckets)
 
     return run
 
 
-def hot_spans(rows: DataFrame, shared, bits: int, buckets: int, tasks: int) -> DataFrame:
+def hot_spans(laid: DataFrame, hot, bits: int, buckets: int, tasks: int) -> DataFrame:
     """What documents lose by hot anchors, as blobs of spans. Surroundings are reduced to the
     different ones before they meet."""
-    found = written(rows.mapInArrow(_scan(shared, bits, buckets, True, _emit_rows), HOT_ROW), "hot")
+    found = written(laid.mapInArrow(_scan(hot, bits, buckets, True, _emit_rows), HOT_ROW), "suffix-hot")
     key = F.xxhash64("anchor", "code")
     different = found.filter("body is not null").groupBy("anchor", "code").agg(F.min("doc").alias("doc"), F.first("count").alias("count"), F.first("body").alias("body"))
     solved = different.repartition(tasks, "anchor").mapInArrow(_solve_rows, "anchor long, code long, least array<long>").select(key.alias("key"), "least")
-    mine = found.select(key.alias("key"), "doc", "row", "start", "count")
+    mine = found.select(key.alias("key"), *PLACE)
     sizes = mine.groupBy("key").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     joined = join_hot(mine, solved.join(sizes, "key"), "key", "n", total, "inner")
-    return joined.select("doc", "row", "start", "count", "least").mapInArrow(_lose_rows(buckets), BLOB)
+    return joined.select(*PLACE, "least").mapInArrow(_lose_rows(buckets), BLOB)
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -554,64 +704,53 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans: list[list[np.ndarray]] = [[], [], [], []]
-        ready = None
-        for batch in by_bytes(batches, "text", PART):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if keep_text else []))
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+        for _, chunk, (index, start, size) in _with_rows(batches, SPANS):
             out = []
-            for doc_id, doc, row, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc", "row", "text", "blob"))):
-                if blob is not None:
-                    for s, x in zip(spans, _unpacked(blob, "<i8", "<u4", "<i8", "<i8")):
-                        s.append(x)
-                    continue
-                if ready is None:
-                    who, rows, a, n = (np.concatenate([np.zeros(0, np.int64), *s]) for s in spans)
-                    order = np.lexsort((a, rows, who))
-                    ready = who[order], rows[order], a[order], (a + n)[order]
-                    spans = [[], [], [], []]
-                lo, hi = (int(np.searchsorted(ready[0], doc, side)) for side in ("left", "right"))
-                lo, hi = (lo + int(np.searchsorted(ready[1][lo:hi], row, side)) for side in ("left", "right"))
+            order = np.lexsort((start, index))
+            index, start, stop = index[order], start[order], (start + size)[order]
+            bounds = np.searchsorted(index, np.arange(len(chunk.texts) + 1)).tolist()
+            for doc_id, text, lo, hi in zip(chunk.ids, chunk.texts, bounds, bounds[1:]):
                 removed = runs = 0
                 kept = text
                 if hi > lo:
-                    a, z = ready[2][lo:hi], np.maximum.accumulate(ready[3][lo:hi])
+                    a, z = start[lo:hi], np.maximum.accumulate(stop[lo:hi])
                     new = np.concatenate([[True], a[1:] > z[:-1]])
                     begin, end = a[new], np.append(z[np.nonzero(new)[0][1:] - 1], z[-1])
                     removed, runs = int((end - begin).sum()), len(begin)
                     kept = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
                 out.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if keep_text else []))
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_docs: int = HOT_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_docs: int = HOT_DOCS, range_bytes: int = RANGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (with ``keep_text`` also
     kept, the remaining bytes, which may no longer be whole UTF-8).
 
     A byte goes if a LENGTH-byte string over it also occurs in a document with a smaller doc_id.
-    Null is empty. Rows
-    with equal doc_ids don't take from each other. Rows without a doc_id come after all others, in
-    the order of a hash. Texts of any length are scanned in overlapping parts.
+    Null is empty. Rows with equal doc_ids don't take from each other. Rows without a doc_id come
+    after all others, in the order of a hash. Texts of any length are scanned in overlapping
+    parts; a document stands in one chunk.
     """
     spark = docs.sparkSession
-    rows = _rows(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
-    bits = min(MOST_BITS, max(20, int((size or 0) // 2).bit_length()))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * tasks
-    cells = repeated_cells(rows, bits, tasks, hot_docs)
-    shared = spark.sparkContext.broadcast(cells)
-    spans = rows.mapInArrow(_scan(shared, bits, buckets, False, _emit_packed), BLOB).repartition(tasks, "bucket").mapInArrow(_solve_packed(buckets), BLOB)
-    if len(cells[1]):
-        spans = spans.unionByName(hot_spans(rows, shared, bits, buckets, tasks))
-    none = lambda t: F.lit(None).cast(t)
-    place = F.pmod("doc", F.lit(buckets)).cast("int")
-    texts = rows.select(place.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "doc", "row", "text", none("binary").alias("blob"))
-    parts = spans.select("bucket", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("long").alias("doc"), none("long").alias("row"), none("binary").alias("text"), "blob")
-    laid = texts.unionByName(parts).repartition(tasks, "bucket").sortWithinPartitions("kind")
-    return laid.mapInArrow(_cut(keep_text), RESULT + (", kept binary" if keep_text else ""))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    tasks = min(buckets, MOST_TASKS)
+    # some 200 cells for each anchor
+    bits = min(64, max(24, size.bit_length() + 4))
+    parts = chunks(docs, buckets)
+    found = repeated_anchors(parts, bits, buckets, tasks, max(hot_docs, size >> HOT_BITS))
+    cells = [np.frombuffer(r["hot"], "<u8") for r in found.filter("hot is not null").select("hot").toLocalIterator()]
+    hot = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, U), *cells])))
+    laid = _laid(parts, found.filter("blob is not null").select("bucket", "blob"), tasks)
+    near = laid.mapInArrow(_scan(hot, bits, buckets, False, _emit_packed), BLOB).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    spans = near.mapInArrow(_solve_packed(buckets), BLOB)
+    if cells:
+        spans = spans.unionByName(hot_spans(laid, hot, bits, buckets, tasks))
+    return _laid(parts, spans, tasks).mapInArrow(_cut(keep_text), RESULT + (", kept binary" if keep_text else ""))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

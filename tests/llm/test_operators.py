@@ -160,8 +160,12 @@ def test_join_hot(spark):
     assert join_hot(rows, sizes.filter("k < 950"), "k", "n", 1000, "inner").count() == 950
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("hot,sizes", [(100_000, {}), (2, {"range_bytes": 999}), (100_000, {"range_bytes": 5000, "FLUSH": 1, "PART": 3000, "MOST_TASKS": 3}), (3, {"FLUSH": 1, "PART": 1})])
+def test_suffix_dedup(spark, monkeypatch, hot, sizes):
+    """Whatever the number of ranges, tasks, chunks and blobs."""
+    for name in sizes.keys() - {"range_bytes"}:
+        monkeypatch.setattr(suffixes, name, sizes[name])
+    sizes = {k: v for k, v in sizes.items() if k == "range_bytes"}
     rows = EDGES + [(r["doc_id"] + 1000, r["text"]) for r in all_docs(spark).limit(80).collect()]
     rows = [r for r in rows if r[0] is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -178,15 +182,14 @@ def test_suffix_dedup(spark, hot):
                 gone[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone) if not g)
         want.append((d, len(b), sum(gone), sum(1 for i in range(len(b)) if gone[i] and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
-    assert sorted(map(tuple, suffixes.remove_repeats(df, hot_docs=hot).collect())) == sorted(want)
+    assert sorted(map(tuple, suffixes.remove_repeats(df, hot_docs=hot, **sizes).collect())) == sorted(want)
 
 
 def test_suffix_dedup_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PART", 64)
     texts = [b"0123456789" * 3 + COPY.encode() * 2, b"x" * 37 + COPY.encode()]
-    batch = __import__("pyarrow").RecordBatch.from_pydict({"text": texts})
     found = [set(), set()]
-    for joined, starts, owner, offset in suffixes.parts_of(batch):
+    for joined, starts, owner, offset in suffixes.parts_of(texts):
         h, place, first, count, doc, _ = suffixes.anchors(joined, starts)
         for f, c, d in zip(first, count, doc):
             found[owner[d]] |= set(range(f - starts[d] + offset[d], f - starts[d] + offset[d] + c))
