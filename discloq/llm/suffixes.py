@@ -47,7 +47,7 @@ MOST_TASKS = 20_000
 #: hot. So at most 2**HOT_BITS cells are hot, and below a task holds some 60 bytes for each.
 HOT_DOCS, HOT_BITS = 100_000, 21
 #: Bytes of surroundings that are sorted at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Where the numbers begin that order rows without a doc_id, by a hash, after all others.
 NO_DOC = 1 << 62
 U = np.uint64
@@ -258,7 +258,7 @@ def _unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
 
 
 BLOB = "bucket int, blob binary"
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 CHUNK_TYPES = ("u1", "<i8", "<i8", "<i8", "u1")
 
 
@@ -275,6 +275,13 @@ def _split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[
         yield b, [x[a:z] for x in arrays]
 
 
+def _columns(held: list[tuple]) -> list[np.ndarray]:
+    """The held arrays put together; they are let go of."""
+    out = [np.concatenate(c) for c in zip(*held)]
+    held.clear()
+    return out
+
+
 def _home(chunk, buckets: int):
     """The bucket of a chunk."""
     return (chunk ^ (chunk >> 32)) % buckets
@@ -357,7 +364,7 @@ def repeated_anchors(parts: DataFrame, bits: int, buckets: int, tasks: int, hot:
         held, size = [], 0
 
         def flush():
-            h, chunk, place = (np.concatenate(c) for c in zip(*held))
+            h, chunk, place = _columns(held)
             order = np.argsort(h, kind="stable")
             h, chunk, place = h[order], chunk[order], place[order]
             heads = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
@@ -385,7 +392,7 @@ def repeated_anchors(parts: DataFrame, bits: int, buckets: int, tasks: int, hot:
                     size += len(first)
                 if size >= FLUSH or len(held) > 4096:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
@@ -464,7 +471,7 @@ TYPES = ("<u8", "<u4", "<u2", "<i8", "<i8", "<u4", "<i8", "u1", "u1", "u1")
 def _mine(held: list[tuple]) -> list[np.ndarray]:
     """Columns of the held rows: anchor, code, doc, chunk, index there, start, count, has bytes,
     bounds of its bytes, bytes; bytes only with the first row of each code."""
-    h, code, doc, chunk, index, start, count, data, sizes = (np.concatenate(c) for c in zip(*held))
+    h, code, doc, chunk, index, start, count, data, sizes = _columns(held)
     order = np.lexsort((doc, code, h))
     first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (code[order][1:] != code[order][:-1])])
     begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -587,7 +594,7 @@ def _scan(hot, bits: int, buckets: int, want_hot: bool, emit):
                 size += len(h)
             if size > FLUSH // 2:
                 yield emit(_mine(held), bits, buckets)
-                held, size = [], 0
+                size = 0
         if size:
             yield emit(_mine(held), bits, buckets)
 
