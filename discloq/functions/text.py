@@ -62,9 +62,11 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def sentences(c: Column) -> Column:
-    """Cut after 。！？ always and after .!? before white space, so decimals stay whole."""
-    marked = F.regexp_replace(F.regexp_replace(c, "([。！？])", "$1\u0001"), r"([.!?])(\s|\z)", "$1\u0001$2")
+def sentences(c: Column, latin: bool = False) -> Column:
+    """Cut after 。！？; with ``latin`` also after .!? before white space, so decimals stay whole."""
+    marked = F.regexp_replace(c, "([。！？])", "$1\u0001")
+    if latin:
+        marked = F.regexp_replace(marked, r"([.!?])(\s|\z)", "$1\u0001$2")
     return F.split(marked, "\u0001")
 
 
@@ -93,10 +95,11 @@ def detect_names(c: Column, aliases: dict[str, str] = D.ALIASES) -> Column:
 
 
 def strip_names(c: Column, aliases: dict[str, str] = D.ALIASES) -> Column:
-    """Without names, squeezed and trimmed of punctuation; the text itself if nothing is left."""
-    s = reduce(lambda s, p: F.replace(F.replace(s, F.lit(p[0]), F.lit("")), F.lit(p[1]), F.lit("")), aliases.items(), c)
-    s = F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
-    return F.coalesce(F.nullif(F.regexp_replace(s, r"^[、，,和与及的 ]+|[、，, ]+$", ""), F.lit("")), c)
+    """Each name a blank, white space squeezed, blanks and ，,、。？? trimmed; the text itself if
+    nothing is left."""
+    s = reduce(lambda s, p: F.replace(F.replace(s, F.lit(p[0]), F.lit(" ")), F.lit(p[1]), F.lit(" ")), aliases.items(), c)
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"^[ ，,、。？?]+|[ ，,、。？?]+$", "")
+    return F.coalesce(F.nullif(s, F.lit("")), c)
 
 
 def focus_terms(query: Column, most: int = 6, groups=D.SYNONYMS, words=D.DOMAIN_WORDS) -> Column:

@@ -10,13 +10,14 @@ from discloq.functions import text as X
 SHORTEST = 6
 
 
-def candidates(hits: DataFrame, query_terms: Column, numeric: Column, focus: Column) -> DataFrame:
+def candidates(hits: DataFrame, query_terms: Column, numeric: Column, focus: Column, latin: bool = False) -> DataFrame:
     """hits(qid, ci, text, ...) as scored sentences (si, sentence, score, has_num).
 
     Hit density, bonuses for numbers and for numbers with a focus term, decay by place in the
     text and in the hits, and a malus for lines that only lead in. A hit with a true has_table
-    is cut into lines, and gets a bonus if it has a focus term or there is none."""
-    cut, topic = X.sentences(F.col("text")), F.lit(0.0)
+    is cut into lines, and gets a bonus if it has a focus term or there is none. ``latin`` cuts
+    after .!? too."""
+    cut, topic = X.sentences(F.col("text"), latin), F.lit(0.0)
     if "has_table" in hits.columns:
         cut = F.when(F.col("has_table"), F.split("text", "\n")).otherwise(cut)
         topic = F.when(F.col("has_table") & ((F.size(focus) == 0) | F.exists(focus, lambda w: F.contains("text", w))), 0.15).otherwise(0.0)

@@ -79,10 +79,12 @@ def attribute(engine: Engine, questions: DataFrame, verdicts: DataFrame) -> Data
     uses = (F.col("subject") == F.col("company")) & ours("kinds", "kind") & F.exists("words", lambda w: F.contains("text", w))
     # a stated set of obligations meets every chunk once; only flags leave the scan
     seen = corpus.crossJoin(F.broadcast(wanted)).select("qid", "id", has.alias("has"), uses.alias("uses")).groupBy("qid", "id").agg(F.bool_or("has").alias("in_corpus"), F.bool_or("uses").alias("alias_there"))
-    known = [r[0] for r in engine.chunks.select("company").distinct().filter("company is not null").collect() if r[0] in engine.aliases]
-    named = questions.select("qid", F.size(F.array_except(X.detect_names(F.col("q"), {n: engine.aliases[n] for n in known}), X.detect_names(F.col("q"), engine.aliases))).alias("_missed"))
+    # detection knows the companies of the table of names; the corpus may have others
+    unknown = engine.chunks.select("company").distinct().filter("company is not null and company != ''").filter(~F.col("company").isin(*engine.aliases))
+    asked = questions.select("qid", "q")
+    named = unknown.join(F.broadcast(asked), F.contains("q", "company")).groupBy("qid").agg(F.count("*").alias("_missed"))
     rows = verdicts.filter("status <> '已覆盖'").join(duties.select("qid", "id", "subject", "item", "hint", F.size(F.flatten(F.coalesce("must_contain", F.expr("array()")))).alias("_words")), ["qid", "id"])
-    rows = rows.join(seen, ["qid", "id"], "left").join(named, "qid").fillna(False, ["in_corpus", "alias_there"])
+    rows = rows.join(seen, ["qid", "id"], "left").join(named, "qid", "left").fillna(False, ["in_corpus", "alias_there"]).fillna(0, ["_missed"])
     there = F.col("alias_there") | (F.col("_words") == 0)
     code = E.gap_code(F.col("hint"), F.col("in_corpus"), F.col("_missed") > 0, F.col("ablation_ok"), F.col("value_hit"), F.col("attributed"), F.col("status8"), F.col("subject"), there)
     return rows.select("qid", "mode", "id", "subject", "item", "status", code.alias("code"))

@@ -88,6 +88,11 @@ def test_evaluation(spark, engine):
     assert (by["Q10"]["hit_class"], by["Q10"]["covered"], by["Q10"]["total"]) == ("未命中", 1, 2)
     codes = {r["id"]: r["code"] for r in R.attribute(engine, questions, verdicts).collect()}
     assert codes == {"Q2-2": "A", "Q2-3": "A", "Q10-2": "G"}
+    # a company of the corpus that the table of names lacks, named in the question
+    chunks = engine.chunks.withColumn("company", F.replace("company", F.lit("韵达股份"), F.lit("无名快运")))
+    unmet = verdicts.filter("id = 'Q2-1'").withColumn("status", F.lit("缺"))
+    codes = [R.attribute(type(engine)(chunks, engine.vectors, engine.aliases), questions.withColumn("q", F.concat("q", F.lit(x))), unmet).first()["code"] for x in ("", " 无名快运")]
+    assert codes[0] != "B" and codes[1] == "B"
     score = R.scores(runs).first()
     assert (score["hit_rate"], score["covered_share"]) == (0.5, 0.4)
     assert R.ledger(runs).first()["markdown"].split("\n")[2].startswith("| Q2 | bm25 | 命中 | 1/3 | 部分正确 |")

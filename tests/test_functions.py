@@ -31,6 +31,11 @@ def test_norm_and_cites(spark):
     assert one(spark, lambda c: X.to_simplified(c, {"單": "单", "與": "与", "毛": "毛"}), "單票收入與毛利率") == "单票收入与毛利率"
 
 
+def test_sentences_end_at_full_stops_of_either_script(spark):
+    assert one(spark, X.sentences, "A 1.5 b. C！D") == ["A 1.5 b. C！", "D"]
+    assert one(spark, lambda c: X.sentences(c, latin=True), "A 1.5 b. C！D") == ["A 1.5 b.", " C！", "D"]
+
+
 def test_sentences_keep_semicolons(spark):
     assert one(spark, X.sentences, "单票收入2.17元；单票成本1.90元；单票毛利0.27元。") == ["单票收入2.17元；单票成本1.90元；单票毛利0.27元。", ""]
 
@@ -44,6 +49,8 @@ def test_domain_words(spark):
     assert one(spark, X.expand_synonyms, "单票收入")[:2] == ["票均收入", "包裹单价"]
     assert one(spark, X.detect_names, "圆通和顺丰控股") == ["顺丰控股", "圆通速递"]
     assert one(spark, X.strip_names, "顺丰控股") == "顺丰控股"
+    assert one(spark, X.strip_names, "顺丰控股和圆通速递的单票收入是多少？") == "和 的单票收入是多少"
+    assert one(spark, X.strip_names, "ROE顺丰EPS") == "ROE EPS"
     assert one(spark, X.focus_terms, "市占率")[:3] == ["市场份额", "市占率", "市场占有率"]
 
 
