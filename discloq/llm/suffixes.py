@@ -241,10 +241,10 @@ def parts_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 # --- chunks -----------------------------------------------------------------------------------
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
+def _packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of fixed types as one compressed value, the first bytes of all numbers first."""
     out = b"".join(np.array([len(x)], "<i8").tobytes() + np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out)
+    return zstandard.ZstdCompressor(level=level).compress(out)
 
 
 def _unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
@@ -299,7 +299,7 @@ def chunks(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal made
             known = np.array([i is not None for i, _, _ in held], np.uint8)
             ids = np.array([i or 0 for i, _, _ in held], "<i8")
-            blob = _packed(known, ids, np.array([d for _, d, _ in held], "<i8"), np.array([len(t) for *_, t in held], "<i8"), np.frombuffer(b"".join(t for *_, t in held), np.uint8))
+            blob = _packed(known, ids, np.array([d for _, d, _ in held], "<i8"), np.array([len(t) for *_, t in held], "<i8"), np.frombuffer(b"".join(t for *_, t in held), np.uint8), level=5)
             made += 1
             return pa.RecordBatch.from_arrays([pa.array([task + made], pa.int64()), pa.array([_home(task + made, buckets)], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "bucket", "blob"])
 
