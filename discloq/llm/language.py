@@ -8,7 +8,6 @@ byte pair, which gives the same sums with two look-ups a byte.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,11 @@ LENGTH = 256
 UNKNOWN = "und"
 #: Bounds of the training sample: rows for each language and bytes of a row.
 FIT_ROWS, FIT_BYTES = 300, 16_000
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Of Unicode category L; numerals such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text))
 
 
 def windows(texts: list[str], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +91,7 @@ class Network:
         p = np.exp(mean - mean.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
-        known = np.array([bool(_LETTER.search(t)) for t in texts])
+        known = np.array([has_letter(t) for t in texts])
         return [self.labels[k] if ok else UNKNOWN for k, ok in zip(best, known)], np.where(known, p[np.arange(len(p)), best], 0.0)
 
 
@@ -105,7 +108,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 400, r
     pieces, ys = [], []
     for t, y in zip(texts, langs):
         b = t.encode("utf-8", "replace")
-        if not _LETTER.search(t):
+        if not has_letter(t):
             continue
         for size in (LENGTH, int(rng.integers(12, 96))):
             a = int(rng.integers(0, max(1, len(b) - size + 1)))
