@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from discloq.llm.batches import by_bytes
 from discloq.llm.common import join_hot, table
 from discloq.session import shared_dir, written
 
@@ -64,6 +65,15 @@ def refer_back(pages: DataFrame, shortest: int = SHORTEST_REVISIT) -> DataFrame:
     return out.filter("page_id is null or page_id != refers_to").select("page_id", "refers_to", "digest")
 
 
+def located(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its file system: one without a scheme is in the default file system, as it
+    is for Spark's own tables."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return default.rstrip("/") + "/" + folder.lstrip("/") if not default.startswith("file:") else f"file://{folder}"
+
+
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, tasks: int | None = None) -> list[dict]:
     """Writes pages(page_id, url, html) as gzipped WARC files to ``folder`` and commits them by
     manifest.json. Null html is an empty payload. Repeated rows are written as often as they are
@@ -89,7 +99,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
             files.move(temp, f"{base}/{made[-1][0]}")
             sink = None
 
-        for batch in batches:
+        for batch in by_bytes(batches, "html"):
             for r in batch.to_pylist():
                 page = r["page_id"]
                 if known[0] != page or not known[1] and r["_kind"] == 0:
@@ -202,8 +212,7 @@ class _Raw(io.RawIOBase):
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = located(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(spark, folder, payload=False).drop("url", "html")
 
