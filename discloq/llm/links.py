@@ -7,6 +7,8 @@ rules name, and a host whose distrust exceeds its trust by the threshold is bloc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,11 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Propagation ends when no score changes by more.
+TOLERANCE = 1e-4
+#: Steps that the SQL unrolls.
+SQL_ROUNDS = 60
 #: Rules are one expression, so their number is bounded.
 MOST_RULES = 1000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
@@ -49,17 +55,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if name is None else (name, verdict)
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, score): seed + damping * what comes along edges(a, b, share), iterated from
-    seeds(host, score). Each step's scores are written, so lineage stays short."""
-    now = seeds
-    for _ in range(rounds):
-        came = edges.join(now.withColumnRenamed("host", "a"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("score") * damping).alias("score"))
-        now = written(seeds.unionByName(came).groupBy("host").agg(F.sum("score").alias("score")), "rank")
-    return now
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(host, score): seed + damping * what comes along edges(a, b, share), from
+    seeds(host, score), until no score changes by more than the tolerance. This is personalised
+    PageRank divided by 1 - damping, so a seed counts 1 whatever the number of seeds.
+
+    Only what changed moves on: each step's additions are written, and summed at the end.
+    Hosts of very many edges are joined apart."""
+    total = edges.count()
+    degrees = written(edges.groupBy("a").agg(F.count("*").alias("n")), "degrees")
+    steps = [seeds]
+    while True:
+        sent = steps[-1].withColumnRenamed("host", "a").join(degrees, "a")
+        came = join_hot(edges, sent, "a", "n", total, "inner").groupBy(F.col("b").alias("host"))
+        steps.append(written(came.agg(F.sum(F.col("share") * F.col("score") * damping).alias("score")), "rank"))
+        most = steps[-1].agg(F.max("score")).first()[0]
+        if most is None or most <= tolerance:
+            return reduce(DataFrame.unionByName, steps).groupBy("host").agg(F.sum("score").alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages(page_id, url, html).
 
     A host's seed of trust (distrust) is the share of its rows that rules allow (block). Rows
@@ -80,12 +95,17 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
     links = written(links, "host-edges")
     scores = hosts.select("host", "trust", "distrust")
     if not links.isEmpty():
-        out_of = links.groupBy("a").agg(F.sum("n").alias("t"))
-        into = links.groupBy("b").agg(F.sum("n").alias("t"))
-        ahead = written(links.join(out_of, "a").select("a", "b", (F.col("n") / F.col("t")).alias("share")), "ahead")
-        back = written(links.join(into, "b").select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") / F.col("t")).alias("share")), "back")
-        trust = spread(hosts.filter("trust > 0").select("host", F.col("trust").alias("score")), ahead, damping, rounds)
-        distrust = spread(hosts.filter("distrust > 0").select("host", F.col("distrust").alias("score")), back, damping, rounds)
+        total = links.count()
+        share = (F.col("n") / F.col("t")).alias("share")
+
+        def shared(end: str) -> DataFrame:
+            sums = written(links.groupBy(end).agg(F.sum("n").alias("t"), F.count("*").alias("m")), "host-sums")
+            return join_hot(links, sums, end, "m", total, "inner")
+
+        ahead = written(shared("a").select("a", "b", share), "ahead")
+        back = written(shared("b").select(F.col("b").alias("a"), F.col("a").alias("b"), share), "back")
+        trust = spread(hosts.filter("trust > 0").select("host", F.col("trust").alias("score")), ahead, damping, tolerance)
+        distrust = spread(hosts.filter("distrust > 0").select("host", F.col("distrust").alias("score")), back, damping, tolerance)
         scores = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
         scores = scores.fillna(0.0, ["trust", "distrust"])
     bad = F.when((F.col("host") != "") & (F.col("distrust") - F.col("trust") >= threshold), "block").otherwise("allow")
@@ -100,7 +120,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-def sql(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
+def sql(rules=RULES, damping: float = DAMPING, rounds: int = SQL_ROUNDS, threshold: float = THRESHOLD) -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, k) for k, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     rule = " ".join(f"WHEN {f} THEN '{n}'" for f, n, _ in fits)
     by = " ".join(f"WHEN {f} THEN '{k}'" for f, _, k in fits)
