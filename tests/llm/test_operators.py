@@ -258,6 +258,33 @@ def test_urls(spark):
     assert links.judge_urls(df.limit(0)).count() == 0
 
 
+def test_distrust_reaches_far_and_hubs(spark):
+    """Four chains of eleven links to blocked hosts: 4 * 0.85 ** 11 = 0.67; a hub of many links."""
+    pages, n = [], 0
+    for c in range(4):
+        names = ["far.org", *(f"h{c}x{k}.org" for k in range(10)), f"b{c}.net"]
+        for a, b in zip(names, names[1:]):
+            pages.append((n := n + 1, f"http://{a}/", f'<a href="http://{b}/">'))
+        pages.append((n := n + 1, f"http://b{c}.net/fr/", ""))
+    pages.append((n := n + 1, "http://hub.org/", "".join(f'<a href="http://t{k}.org/">' for k in range(300))))
+    pages.append((n := n + 1, "http://t7.org/", None))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in links.judge_urls(df).filter("rule is null").collect()}
+    assert got["far.org"] == "block" and got["hub.org"] == got["t7.org"] == "allow"
+
+
+def test_archive_folder_without_scheme(spark):
+    assert warc.located(spark, "hdfs://n/x") == "hdfs://n/x" and warc.located(spark, "file:/x") == "file:/x"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        assert warc.located(spark, "/a/b") == "file:///a/b"
+        conf.set("fs.defaultFS", "hdfs://name:8020")
+        assert warc.located(spark, "/a/b") == "hdfs://name:8020/a/b"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_warc(spark, tmp_path):
     pages = [(5, "http://a/\n b", "x" * 200), (3, None, "x" * 200), (4, "http://c", "y" * 99), (2, "http://d", "y" * 99), (1, "http://e", None), (9, "u", "é" * 120), (9, "u", "é" * 120), (None, "n", "x" * 200)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
