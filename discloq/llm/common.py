@@ -10,6 +10,8 @@ from discloq.session import written
 #: A key with over 1/HOT_SHARE of the rows is hot. So at most HOT_SHARE keys are, whatever the
 #: size of the input: that bounds what a hot-key join broadcasts.
 HOT_SHARE = 500
+#: So many edges a single task can hold; rounds over fewer need no care for hot nodes.
+FEW_EDGES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,10 @@ def sampled(df: DataFrame, key: Column, label: str, per_label: int, most_labels:
     return df.join(F.broadcast(limits), label).filter(chosen).drop("_below")
 
 
+def _meet(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    return rows.join(low, "u") if total <= FEW_EDGES else join_hot(rows, low, "u", "n", total, "inner")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)``: (node, component), where
     the component is its smallest node. Nodes without an edge aren't returned.
@@ -67,22 +73,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nothing changes any more.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    before = None
+    before, total = None, 2 * now.count()
     for _ in range(rounds):
         # large star: each larger neighbour of a node links to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        total = both.count()
-        large = join_hot(both, low, "u", "n", total, "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _meet(both, low, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
         # small star: smaller neighbours and the node itself link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        moved = join_hot(large, low, "u", "n", total, "inner").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _meet(large, low, total).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, total = state, 2 * state[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = now.groupBy("u").agg(F.min("v").alias("component"))

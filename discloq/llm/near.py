@@ -250,7 +250,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return written(both.select("a", "b", "x", "y").mapInArrow(_similar, PAIR), "near-links")
 
     links = verified(simhash_pairs(classes.select("cls", "fp")).unionByName(by_bucket(shared).mapInArrow(_first_pairs, PAIR)))
-    joined = components(links).select(F.col("node").alias("cls"), "component")
+    joined = written(components(links).select(F.col("node").alias("cls"), "component"), "near-joined")
     rest = written(shared.join(joined, "cls", "left").select(*ROW, F.coalesce("component", "cls").alias("comp")), "near-rest")
     # buckets with classes that aren't joined yet
     mixed = rest.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s", "m")
@@ -260,9 +260,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("b")) * F.col("k") + F.greatest(j, F.col("b")))
     large = large.withColumn("p", F.explode(met)).withColumn("s", F.xxhash64("s", "p"))
     rest = rest.filter(F.col("m") <= most).select(COMP).unionByName(large.select(COMP))
-    links = links.unionByName(verified(by_bucket(rest).mapInArrow(_all_pairs, PAIR)))
-    found = written(components(links), "near-components").select(F.col("node").alias("cls"), "component")
-    placed = classes.select("cls", "best", "rows").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    links = verified(by_bucket(rest).mapInArrow(_all_pairs, PAIR))
+    for end in ("a", "b"):  # between components of the first links
+        links = links.join(joined.select(F.col("cls").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    found = written(components(links), "near-components").withColumnRenamed("component", "_c")
+    placed = classes.select("cls", "best", "rows").join(joined, "cls", "left").withColumn("node", F.coalesce("component", "cls"))
+    placed = placed.join(found, "node", "left").select("cls", "best", "rows", F.coalesce("_c", "node").alias("component"))
     kept = placed.groupBy("component").agg(F.min("best").alias("kept"))
     named = placed.join(kept, "component").select("cls", "rows", F.col("kept.key").alias("kept"))
     out = join_hot(rows.select("key", "cls"), named, "cls", "rows", rows.count(), "inner")

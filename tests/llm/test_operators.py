@@ -147,7 +147,9 @@ def test_covering_masks():
         assert any(bits & m == 0 for m in ms)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 18, 0])  # with 0, hot nodes are joined apart
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("discloq.llm.common.FEW_EDGES", few)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
