@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ SAMPLE, FREQUENT = 20_000, 1 << 16
 BLOCK, BLOCKS = 1024, 4
 #: Up to so many keys of texts to be verified are broadcast (8 bytes each); more are joined.
 BROADCAST = 1 << 20
+#: Cells in which the shingles of a set are counted, for a bound of what two sets can share.
+CELLS = 256
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -77,13 +80,14 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, doc_id, cls, n, fp, prefix) of every row: cls names its set of n shingles, fp is the
-    SimHash of its shingles, prefix holds the first of the set in the order."""
+    """(key, doc_id, cls, n, fp, cells, prefix) of every row: cls names its set of n shingles, fp is
+    the SimHash of its shingles, cells counts the set by a byte of its hashes (none if a count
+    doesn't fit into a byte), prefix holds the first of the set in the order."""
     names, counts = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "text"):
-            cls, sizes, fps, out = [], [], [], []
+            cls, sizes, fps, cells, out = [], [], [], [], []
             for text in part.column("text").to_pylist():
                 h = simhash.shingle_hashes(text, WORDS)
                 s = _set(h)
@@ -91,15 +95,17 @@ def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFram
                 fps.append(simhash.majority(h))
                 cls.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(n)
+                counts_of = np.bincount(s & (CELLS - 1), minlength=CELLS)
+                cells.append(counts_of.astype(np.uint8).tobytes() if counts_of.max() < 256 else None)
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.lexsort((s, np.where(names[at] == s, counts[at], 0)))]
                 out.append(s[: n - -(-LEAST * n // OF) + 1] if n else s)
             prefix = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), pa.array(np.concatenate(out)))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), signed[0], pa.array(sizes, pa.int32()), signed[1], prefix], ["key", "doc_id", "cls", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), signed[0], pa.array(sizes, pa.int32()), signed[1], pa.array(cells, pa.binary()), prefix], ["key", "doc_id", "cls", "n", "fp", "cells", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, cells binary, prefix array<long>")
 
 
 #: A shingle, the size of a set and the shingle's place in its prefix in one number, the class,
@@ -202,6 +208,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["cls", "set"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b) with sizes m and n and cells x and y: those whose cells don't rule out that
+    they are similar. What two sets share is at most the sum of the smaller counts."""
+    for batch in batches:
+        both = batch.filter(pc.and_(batch.column("x").is_valid(), batch.column("y").is_valid()))
+        x, y = (np.frombuffer(b"".join(both.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("x", "y"))
+        m, n = (both.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("m", "n"))
+        most = np.minimum(x, y).sum(1, dtype=np.int64)
+        yield both.filter(pa.array((OF + LEAST) * most >= LEAST * (m + n))).select(["a", "b"])
+        yield batch.filter(pc.or_(batch.column("x").is_null(), batch.column("y").is_null())).select(["a", "b"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, x, y) whose sets x and y are similar enough."""
     for part in by_bytes(batches, "x"):
@@ -227,7 +245,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     copies of each other, null ones too; rows that repeat doc_id and text stay or go together."""
     rows = written(described(docs, frequent(docs)), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
-    same = (F.first(c).alias(c) for c in ("n", "fp", "prefix"))  # equal in all rows of a class, but for fp
+    same = (F.first(c).alias(c) for c in ("n", "fp", "cells", "prefix"))  # equal in all rows of a class, but for fp
     classes = written(rows.groupBy("cls").agg(best, F.count("*").alias("rows"), *same), "near-classes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -240,7 +258,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     def verified(found: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar, by the sets of a row of each."""
-        pairs = written(found.distinct(), "near-pairs")
+        both = found.distinct()
+        for end, size, cells in (("a", "m", "x"), ("b", "n", "y")):
+            both = both.join(classes.select(F.col("cls").alias(end), F.col("n").alias(size), F.col("cells").alias(cells)), end)
+        pairs = written(both.select("a", "b", "m", "n", "x", "y").mapInArrow(_possible, PAIR), "near-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("best.key").alias("key"))
         wanted = written(wanted, "near-wanted")
         few = wanted.count() <= BROADCAST
