@@ -7,6 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of a batch that Spark sends to a Python worker, where the session sets none. Its own
+#: 64 MB are held by the JVM, outside its heap, and by the worker, for each running task.
+BATCH_BYTES, _SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` as it is, in a session that sends it to Python workers in small batches; a setting
+    of the session's own stays."""
+    conf = df.sparkSession.conf
+    conf.set(_SETTING, conf.get(_SETTING, str(BATCH_BYTES)))
+    return df
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import by_bytes, texts_of
+from discloq.llm.batches import bounded, by_bytes, texts_of
 from discloq.llm.common import table
 
 Q, EDIT_SHARE = 12, 0.05
@@ -305,7 +305,7 @@ def find_passages(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE,
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "start_byte", "end_byte"])
 
         rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        one = rows_of.mapInArrow(run, "doc_id long, item_id long, edits int, start_byte long, end_byte long")
+        one = rows_of.transform(bounded).mapInArrow(run, "doc_id long, item_id long, edits int, start_byte long, end_byte long")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import by_bytes, texts_of
+from discloq.llm.batches import bounded, by_bytes, texts_of
 from discloq.llm.common import held_out, sampled, table
 
 WIDTHS = (2, 3, 4)
@@ -188,7 +188,7 @@ def predict_documents(docs: DataFrame, net: Network, keep: tuple[str, ...] = ())
 
     rows = docs.select(*out, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), *([] if "text" in out else [F.col("text").alias("_text")]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.transform(bounded).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

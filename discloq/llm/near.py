@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discloq.llm import simhash
-from discloq.llm.batches import by_bytes
+from discloq.llm.batches import bounded, by_bytes
 from discloq.llm.common import components, join_hot
 from discloq.session import written
 
@@ -72,7 +72,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["s", "n"])
 
     chosen = _texts(docs).filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < below)
-    counts = chosen.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("count"))
+    counts = chosen.transform(bounded).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("count"))
     top = counts.filter("count >= 3").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
     s, n = (top.column(c).to_numpy().astype(np.int64) for c in ("s", "count"))
     order = np.argsort(s)
@@ -105,7 +105,7 @@ def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFram
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), signed[0], pa.array(sizes, pa.int32()), signed[1], pa.array(cells, pa.binary()), prefix], ["key", "doc_id", "cls", "n", "fp", "cells", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, cells binary, prefix array<long>")
+    return _texts(docs).transform(bounded).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, cells binary, prefix array<long>")
 
 
 #: A shingle, the size of a set and the shingle's place in its prefix in one number, the class,
@@ -254,23 +254,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     spread = classes.select(F.posexplode("prefix").alias("pos", "s"), "n", "cls")
     spread = spread.select("s", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size"), "cls")
-    shared = written(by_bucket(spread).mapInArrow(_shared, ", ".join(f"{c} long" for c in ROW)), "near-buckets")
+    shared = written(by_bucket(spread).transform(bounded).mapInArrow(_shared, ", ".join(f"{c} long" for c in ROW)), "near-buckets")
 
     def verified(found: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar, by the sets of a row of each."""
         both = found.distinct()
         for end, size, cells in (("a", "m", "x"), ("b", "n", "y")):
             both = both.join(classes.select(F.col("cls").alias(end), F.col("n").alias(size), F.col("cells").alias(cells)), end)
-        pairs = written(both.select("a", "b", "m", "n", "x", "y").mapInArrow(_possible, PAIR), "near-pairs")
+        pairs = written(both.select("a", "b", "m", "n", "x", "y").transform(bounded).mapInArrow(_possible, PAIR), "near-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("best.key").alias("key"))
         wanted = written(wanted, "near-wanted")
         few = wanted.count() <= BROADCAST
         held = _texts(docs).join(F.broadcast(wanted) if few else wanted, "key").dropDuplicates(["cls"]).select("cls", "text")
-        sets = written(held.mapInArrow(_sets, "cls long, set binary"), "near-sets")
+        sets = written(held.transform(bounded).mapInArrow(_sets, "cls long, set binary"), "near-sets")
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(_similar, PAIR), "near-links")
+        return written(both.select("a", "b", "x", "y").transform(bounded).mapInArrow(_similar, PAIR), "near-links")
 
-    links = verified(simhash_pairs(classes.select("cls", "fp")).unionByName(by_bucket(shared).mapInArrow(_first_pairs, PAIR)))
+    links = verified(simhash_pairs(classes.select("cls", "fp")).unionByName(by_bucket(shared).transform(bounded).mapInArrow(_first_pairs, PAIR)))
     joined = written(components(links).select(F.col("node").alias("cls"), "component"), "near-joined")
     rest = written(shared.join(joined, "cls", "left").select(*ROW, F.coalesce("component", "cls").alias("comp")), "near-rest")
     # buckets with classes that aren't joined yet
@@ -281,7 +281,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("b")) * F.col("k") + F.greatest(j, F.col("b")))
     large = large.withColumn("p", F.explode(met)).withColumn("s", F.xxhash64("s", "p"))
     rest = rest.filter(F.col("m") <= most).select(COMP).unionByName(large.select(COMP))
-    links = verified(by_bucket(rest).mapInArrow(_all_pairs, PAIR))
+    links = verified(by_bucket(rest).transform(bounded).mapInArrow(_all_pairs, PAIR))
     for end in ("a", "b"):  # between components of the first links
         links = links.join(joined.select(F.col("cls").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     found = written(components(links), "near-components").withColumnRenamed("component", "_c")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import by_bytes, texts_of
+from discloq.llm.batches import bounded, by_bytes, texts_of
 from discloq.llm.common import table
 from discloq.llm.tokens import id_memory, word_ids
 
@@ -82,7 +82,7 @@ def pieces_of(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, PIECE)
 
 
 def pack(pieces: DataFrame, tasks: int, capacity: int = CAPACITY, most: int = OPEN_BINS) -> DataFrame:
@@ -104,7 +104,7 @@ def pack(pieces: DataFrame, tasks: int, capacity: int = CAPACITY, most: int = OP
 
     mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
     spread = pieces.repartition(tasks, mixed).sortWithinPartitions(mixed)
-    return spread.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return spread.transform(bounded).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAPACITY, task_docs: int = TASK_DOCS) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import by_bytes
+from discloq.llm.batches import bounded, by_bytes
 from discloq.llm.common import components, join_hot, table
 from discloq.session import written
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
             found = np.array([fingerprint(t, words, seed) for t in part.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).transform(bounded).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -175,7 +175,7 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataF
     spark = classes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "v", "key").sortWithinPartitions("v", "key")
-    found = written(rows.mapInArrow(_bucket_links(radius, most), LINK), "simhash-links")
+    found = written(rows.transform(bounded).mapInArrow(_bucket_links(radius, most), LINK), "simhash-links")
     out = found.filter("a is not null").select("a", "b")
     big = found.filter("a is null").select("v", "key", "fp", "id")
     if not big.isEmpty():
@@ -184,7 +184,7 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataF
         placed = big.join(F.broadcast(sizes), ["v", "key"]).withColumn("_k", F.ceil(F.col("_n") / half)).withColumn("_b", F.pmod(F.xxhash64("fp"), F.col("_k")))
         pairs = placed.select("v", "key", "fp", "id", F.explode(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.least(j, F.col("_b")) * F.col("_k") + F.greatest(j, F.col("_b")))).alias("_p"))
         pairs = pairs.select(F.lit(0).alias("v"), F.xxhash64("v", "key", "_p").alias("key"), "fp", "id").repartition(n, "key").sortWithinPartitions("v", "key")
-        out = out.unionByName(pairs.mapInArrow(_bucket_links(radius, 1 << 30), LINK).select("a", "b"))
+        out = out.unionByName(pairs.transform(bounded).mapInArrow(_bucket_links(radius, 1 << 30), LINK).select("a", "b"))
     return out.distinct()
 
 
