@@ -42,6 +42,8 @@ BLOCK, BLOCKS = 1024, 4
 BROADCAST = 1 << 20
 #: Cells in which the shingles of a set are counted, for a bound of what two sets can share.
 CELLS = 256
+#: Cells of the smaller counts that go with the rows of a bucket.
+SKETCH = 64
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -80,14 +82,15 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, doc_id, cls, n, fp, cells, prefix) of every row: cls names its set of n shingles, fp is
-    the SimHash of its shingles, cells counts the set by a byte of its hashes (none if a count
-    doesn't fit into a byte), prefix holds the first of the set in the order."""
+    """(key, doc_id, cls, n, fp, cells, sketch, prefix) of every row: cls names its set of n shingles,
+    fp is the SimHash of its shingles, cells counts the set by a byte of its hashes (none if a count
+    doesn't fit into a byte), sketch by fewer bits (all 255 if one doesn't fit), prefix holds the
+    first of the set in the order."""
     names, counts = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "text"):
-            cls, sizes, fps, cells, out = [], [], [], [], []
+            cls, sizes, fps, cells, sketches, out = [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 h = simhash.shingle_hashes(text, WORDS)
                 s = _set(h)
@@ -97,27 +100,29 @@ def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFram
                 sizes.append(n)
                 counts_of = np.bincount(s & (CELLS - 1), minlength=CELLS)
                 cells.append(counts_of.astype(np.uint8).tobytes() if counts_of.max() < 256 else None)
+                fewer = counts_of.reshape(-1, SKETCH).sum(0)
+                sketches.append(fewer.astype(np.uint8).tobytes() if fewer.max() < 256 else b"\xff" * SKETCH)
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.lexsort((s, np.where(names[at] == s, counts[at], 0)))]
                 out.append(s[: n - -(-LEAST * n // OF) + 1] if n else s)
             prefix = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), pa.array(np.concatenate(out)))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), signed[0], pa.array(sizes, pa.int32()), signed[1], pa.array(cells, pa.binary()), prefix], ["key", "doc_id", "cls", "n", "fp", "cells", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), signed[0], pa.array(sizes, pa.int32()), signed[1], pa.array(cells, pa.binary()), pa.array(sketches, pa.binary()), prefix], ["key", "doc_id", "cls", "n", "fp", "cells", "sketch", "prefix"])
 
-    return _texts(docs).transform(bounded).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, cells binary, prefix array<long>")
+    return _texts(docs).transform(bounded).mapInArrow(run, "key long, doc_id long, cls long, n int, fp long, cells binary, sketch binary, prefix array<long>")
 
 
 #: A shingle, the size of a set and the shingle's place in its prefix in one number, the class,
-#: and where it matters the component.
-ROW, COMP = ["s", "size", "cls"], ["s", "size", "cls", "comp"]
+#: and where it matters the component and the sketch.
+ROW, COMP = ["s", "size", "cls"], ["s", "size", "cls", "comp", "sketch"]
 PAIR = "a long, b long"
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         if batch.num_rows:
-            yield [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            yield [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +139,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], ROW)
 
 
+def _sketched(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j, of sets of n shingles, may be similar: two sets share at most the sum
+    of the smaller counts. Sums of 255 everywhere tell nothing."""
+    ok = np.empty(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        most = np.minimum(sketch[x], sketch[y]).sum(1, dtype=np.int64)
+        ok[at : at + (1 << 16)] = ((OF + LEAST) * most >= LEAST * (n[x] + n[y])) | (most == 255 * SKETCH)
+    return ok
+
+
 def _pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     """The pairs of rows i and j that can be similar, as (a, b) of classes."""
-    size, cls, comp = cols[1], cols[2], cols[-1]  # without components each class is its own
+    size, cls, comp = cols[1], cols[2], cols[min(3, len(cols) - 1)]  # without components each class is its own
     n, pos = size >> 32, size & 0xFFFFFFFF
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # what can be shared from here on
     ok = (comp[i] != comp[j]) & (OF * small >= LEAST * large) & ((OF + LEAST) * rest >= LEAST * (small + large))
-    a, b = cls[i[ok]], cls[j[ok]]
+    i, j = i[ok], j[ok]
+    if len(cols) > 4:
+        ok = _sketched(cols[4], n, i, j)
+        i, j = i[ok], j[ok]
+    a, b = cls[i], cls[j]
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -245,12 +265,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     copies of each other, null ones too; rows that repeat doc_id and text stay or go together."""
     rows = written(described(docs, frequent(docs)), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
-    same = (F.first(c).alias(c) for c in ("n", "fp", "cells", "prefix"))  # equal in all rows of a class, but for fp
+    same = (F.first(c).alias(c) for c in ("n", "fp", "cells", "sketch", "prefix"))  # equal in all rows of a class, but for fp
     classes = written(rows.groupBy("cls").agg(best, F.count("*").alias("rows"), *same), "near-classes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "s").sortWithinPartitions("s", "size", "cls")
+        # sizes without the places, so that the buckets of a group have one order and give the same pairs
+        return df.repartition(n, "s").sortWithinPartitions("s", F.shiftright("size", 32), "cls")
 
     spread = classes.select(F.posexplode("prefix").alias("pos", "s"), "n", "cls")
     spread = spread.select("s", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size"), "cls")
@@ -276,6 +297,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # buckets with classes that aren't joined yet
     mixed = rest.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s", "m")
     rest = join_hot(rest, written(mixed, "near-mixed"), "s", "m", rest.count(), "inner")
+    rest = rest.join(classes.select("cls", "sketch"), "cls")
     most = BLOCK * BLOCKS
     large = rest.filter(F.col("m") > most).withColumn("k", F.ceil(F.col("m") / (most // 2))).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("k")))
     met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("b")) * F.col("k") + F.greatest(j, F.col("b")))

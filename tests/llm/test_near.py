@@ -4,6 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from discloq.llm import near, simhash
@@ -65,3 +66,17 @@ def test_missing_and_repeated_ids(spark):
     rows = [(None, long), (None, f"{long} end"), (5, f"{long} more"), (5, "a text that nothing else is like")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, SF).collect())) == sorted(rows[2:])
+
+
+def test_sketches_rule_no_similar_pair_out():
+    rng, sets = np.random.default_rng(3), []
+    for n in (1, 7, 40, 300, 3000, 40_000):
+        base = rng.integers(-(1 << 62), 1 << 62, n)
+        sets += [base, np.append(base[: max(1, n * 9 // 10)], rng.integers(0, 1 << 62, n // 12)), rng.integers(0, 1 << 62, n)]
+    counts = np.stack([np.bincount(s & (near.SKETCH - 1), minlength=near.SKETCH) for s in sets])
+    sketch = np.where(counts.max(1, keepdims=True) < 256, counts, 255).astype(np.uint8)
+    i, j = map(np.array, zip(*itertools.combinations(range(len(sets)), 2)))
+    ok = near._sketched(sketch, np.array([len(s) for s in sets]), i, j)
+    alike = [5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert ok[np.array(alike)].all() and sum(alike) >= 5
+    assert ok.sum() < len(i) // 2
