@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame
 BATCH_BYTES, _SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: What operators remember in a worker process from task to task, by operator and use. Workers are
+#: shared: tasks of an operator that remembers nothing let go of it.
+MEMORIES: dict[tuple[str, str], object] = {}
+
+
+def let_go() -> None:
+    MEMORIES.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df`` as it is, in a session that sends it to Python workers in small batches; a setting
     of the session's own stays."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import bounded, by_bytes, texts_of
+from discloq.llm.batches import bounded, by_bytes, let_go, texts_of
 from discloq.llm.common import table
 
 Q, EDIT_SHARE = 12, 0.05
@@ -298,6 +298,7 @@ def find_passages(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE,
         shared = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            let_go()
             index = shared.value.index()
             for part in by_bytes(batches, "text"):
                 docs = part.column("doc_id").to_pylist()

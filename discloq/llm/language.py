@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import bounded, by_bytes, texts_of
+from discloq.llm.batches import bounded, by_bytes, let_go, texts_of
 from discloq.llm.common import held_out, sampled, table
 
 WIDTHS = (2, 3, 4)
@@ -179,6 +179,7 @@ def predict_documents(docs: DataFrame, net: Network, keep: tuple[str, ...] = ())
     body = "text" if "text" in out else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in by_bytes(batches, body):
             langs, scores = shared.value.predict(texts_of(part, body))
             yield pa.RecordBatch.from_arrays(

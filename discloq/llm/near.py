@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discloq.llm import simhash
-from discloq.llm.batches import bounded, by_bytes
+from discloq.llm.batches import bounded, by_bytes, let_go
 from discloq.llm.common import components, join_hot
 from discloq.session import written
 
@@ -69,6 +69,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     below = int(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 30)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in by_bytes(batches, "text", 1 << 22):
             s, n = np.unique(np.concatenate([shingles(t) for t in part.column("text").to_pylist()]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["s", "n"])
@@ -89,6 +90,7 @@ def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFram
     names, counts = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in by_bytes(batches, "text"):
             cls, sizes, fps, cells, sketches, out = [], [], [], [], [], []
             for text in part.column("text").to_pylist():

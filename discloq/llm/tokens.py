@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloq.llm.batches import by_bytes, texts_of
+from discloq.llm.batches import MEMORIES, by_bytes, texts_of
 from discloq.llm.common import table
 
 LIMIT = 1024
@@ -60,14 +60,10 @@ class Remembered:
         return found
 
 
-#: One memory for each tokenizer and use in a worker process, kept from task to task.
-_MEMORIES: dict[tuple[str, str], Remembered] = {}
-
-
 def memory(name: str, use: str, make: Callable[[], Callable[[list], list]], keep: int, spare: int) -> Remembered:
-    if (name, use) not in _MEMORIES:
-        _MEMORIES[name, use] = Remembered(make(), keep, spare)
-    return _MEMORIES[name, use]
+    if (name, use) not in MEMORIES:
+        MEMORIES[name, use] = Remembered(make(), keep, spare)
+    return MEMORIES[name, use]
 
 
 def tokenizer(name: str):
