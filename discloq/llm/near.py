@@ -12,7 +12,8 @@ verified on whole sets. Links are searched for in two ways.
    results don't depend on the sample.
 
 Links found first join most of a large group of copies, so that later steps form pairs only
-between texts that aren't joined yet.
+between texts that aren't joined yet. There a bucket gives groups of rows that may be similar, not
+their pairs; a group that many buckets give is compared once, by more counts.
 """
 
 from __future__ import annotations
@@ -119,12 +120,14 @@ def described(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFram
 #: and where it matters the component and the sketch.
 ROW, COMP = ["s", "size", "cls"], ["s", "size", "cls", "comp", "sketch"]
 PAIR = "a long, b long"
+MEMBER = ["s", "m", "cls", "comp"]
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def _columns(batches: Iterator[pa.RecordBatch], width: int = SKETCH) -> Iterator[list[np.ndarray]]:
+    """Columns; binary ones as ``width`` counts a row, or as they are if that is 0."""
     for batch in batches:
         if batch.num_rows:
-            yield [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            yield [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, width) if width and pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,16 +147,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketched(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether rows i and j, of sets of n shingles, may be similar: two sets share at most the sum
     of the smaller counts. Sums of 255 everywhere tell nothing."""
-    ok = np.empty(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+    ok, step = np.empty(len(i), bool), (1 << 22) // sketch.shape[1]
+    for at in range(0, len(i), step):
+        x, y = i[at : at + step], j[at : at + step]
         most = np.minimum(sketch[x], sketch[y]).sum(1, dtype=np.int64)
-        ok[at : at + (1 << 16)] = ((OF + LEAST) * most >= LEAST * (n[x] + n[y])) | (most == 255 * SKETCH)
+        ok[at : at + step] = ((OF + LEAST) * most >= LEAST * (n[x] + n[y])) | (most == 255 * sketch.shape[1])
     return ok
 
 
-def _pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """The pairs of rows i and j that can be similar, as (a, b) of classes."""
+def _open(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows i and j that can be similar and are of different components."""
     size, cls, comp = cols[1], cols[2], cols[min(3, len(cols) - 1)]  # without components each class is its own
     n, pos = size >> 32, size & 0xFFFFFFFF
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -163,7 +166,13 @@ def _pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBat
     if len(cols) > 4:
         ok = _sketched(cols[4], n, i, j)
         i, j = i[ok], j[ok]
-    a, b = cls[i], cls[j]
+    return i, j
+
+
+def _pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """The pairs of rows i and j that can be similar, as (a, b) of classes."""
+    i, j = _open(cols, i, j)
+    a, b = cols[2][i], cols[2][j]
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -185,7 +194,7 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c[k : k + 1] for c in cols] for k in (int(first[-1]), len(cols[0]) - 1)]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+def _buckets(batches: Iterator[pa.RecordBatch], width: int = SKETCH) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Whole buckets of two rows or more from rows sorted by s: columns, starts and lengths."""
 
     def whole(cols):
@@ -195,7 +204,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarra
         return cols, starts[many], lengths[many]
 
     waiting = []  # batches of one bucket that isn't complete
-    for cols in _columns(batches):
+    for cols in _columns(batches, width):
         waiting.append(cols)
         if waiting[0][0][0] == cols[0][-1]:
             continue
@@ -207,22 +216,73 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarra
         yield whole([np.concatenate(x) for x in zip(*waiting)])
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every pair of rows of one s and different components. Holds one batch and one bucket."""
-    for cols, starts, lengths in _buckets(batches):
-        out, size = [], 0
-        for s, m in zip(starts.tolist(), lengths.tolist()):
-            for x in range(s, s + m, BLOCK):
-                for y in range(x, s + m, BLOCK):
-                    i, j = np.meshgrid(np.arange(x, min(x + BLOCK, s + m)), np.arange(y, min(y + BLOCK, s + m)), indexing="ij")
-                    less = i < j
-                    out.append((i[less], j[less]))
-                    size += len(out[-1][0])
-                    if size > BLOCK * BLOCK:
-                        yield _pairs(cols, *map(np.concatenate, zip(*out)))
-                        out, size = [], 0
-        if out:
-            yield _pairs(cols, *map(np.concatenate, zip(*out)))
+def _all_pairs(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows of one bucket, about BLOCK * BLOCK at a time."""
+    out, size = [], 0
+    for s, m in zip(starts.tolist(), lengths.tolist()):
+        for x in range(s, s + m, BLOCK):
+            for y in range(x, s + m, BLOCK):
+                i, j = np.meshgrid(np.arange(x, min(x + BLOCK, s + m)), np.arange(y, min(y + BLOCK, s + m)), indexing="ij")
+                less = i < j
+                out.append((i[less], j[less]))
+                size += len(out[-1][0])
+                if size > BLOCK * BLOCK:
+                    yield tuple(map(np.concatenate, zip(*out)))
+                    out, size = [], 0
+    if out:
+        yield tuple(map(np.concatenate, zip(*out)))
+
+
+def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (the first row of each one's group) once rows i and j are of one group."""
+    while (off := label[i] != label[j]).any():
+        i, j = i[off], j[off]
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+        while (further := to[to] != to).any():
+            to = to[to]
+        label = to[label]
+    return label
+
+
+def _groups(width: int):
+    """For rows (s, size, cls, comp, counts) sorted by s, counts of ``width`` cells: the rows of a
+    bucket that pairs which may be similar join, directly or not, are a group. Gives (s, m, cls,
+    comp) of each member; s names the group by its m members, so that a group which is found in
+    many buckets is one. A bucket gives no more rows than it has,
+    whatever the number of its pairs. Holds one batch and one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, starts, lengths in _buckets(batches, width):
+            label = np.arange(len(cols[0]))
+            for i, j in _all_pairs(starts, lengths):
+                label = _merged(label, *_open(cols, i, j))
+            rows = np.nonzero(np.bincount(label)[label] > 1)[0]
+            rows = rows[np.lexsort((cols[2][rows], label[rows]))]
+            first = np.nonzero(np.diff(label[rows], prepend=-1))[0]
+            m = np.diff(np.append(first, len(rows)))
+            cls = np.ascontiguousarray(cols[2][rows])
+            names = np.array([xxhash.xxh64_intdigest(cls[a : a + k].tobytes()) for a, k in zip(first.tolist(), m.tolist())], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(names, m), np.repeat(m, m), cls, cols[3][rows])], MEMBER)
+
+    return run
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (s, size, cls, comp, cells) of one s that cells don't rule out."""
+    for cols, starts, lengths in _buckets(batches, CELLS):
+        for i, j in _all_pairs(starts, lengths):
+            yield _pairs(cols, i, j)
+
+
+def by_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """``rows`` of large groups s in ``blocks`` (1: as they are) parts; each pair of parts is a
+    group of its own."""
+    k = F.col("_k")
+    cut = rows.withColumn("_k", blocks.cast("long")).withColumn("_b", F.pmod(F.xxhash64("cls"), k))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(j, F.col("_b")) * k + F.greatest(j, F.col("_b")))
+    many = cut.filter("_k > 1").withColumn("_p", F.explode(met)).withColumn("s", F.xxhash64("s", "_p"))
+    return cut.filter("_k = 1").select(rows.columns).unionByName(many.select(rows.columns))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,17 +339,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spread = spread.select("s", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size"), "cls")
     shared = written(by_bucket(spread).transform(bounded).mapInArrow(_shared, ", ".join(f"{c} long" for c in ROW)), "near-buckets")
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(cls, set) of the classes named, by a row of each."""
+        wanted = written(some.distinct().join(classes, "cls").select("cls", F.col("best.key").alias("key")), "near-wanted")
+        few = wanted.count() <= BROADCAST
+        held = _texts(docs).join(F.broadcast(wanted) if few else wanted, "key").dropDuplicates(["cls"]).select("cls", "text")
+        return written(held.transform(bounded).mapInArrow(_sets, "cls long, set binary"), "near-sets")
+
     def verified(found: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar, by the sets of a row of each."""
         both = found.distinct()
         for end, size, cells in (("a", "m", "x"), ("b", "n", "y")):
             both = both.join(classes.select(F.col("cls").alias(end), F.col("n").alias(size), F.col("cells").alias(cells)), end)
         pairs = written(both.select("a", "b", "m", "n", "x", "y").transform(bounded).mapInArrow(_possible, PAIR), "near-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("best.key").alias("key"))
-        wanted = written(wanted, "near-wanted")
-        few = wanted.count() <= BROADCAST
-        held = _texts(docs).join(F.broadcast(wanted) if few else wanted, "key").dropDuplicates(["cls"]).select("cls", "text")
-        sets = written(held.transform(bounded).mapInArrow(_sets, "cls long, set binary"), "near-sets")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
         return written(both.select("a", "b", "x", "y").transform(bounded).mapInArrow(_similar, PAIR), "near-links")
 
@@ -300,12 +363,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     mixed = rest.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s", "m")
     rest = join_hot(rest, written(mixed, "near-mixed"), "s", "m", rest.count(), "inner")
     rest = rest.join(classes.select("cls", "sketch"), "cls")
-    most = BLOCK * BLOCKS
-    large = rest.filter(F.col("m") > most).withColumn("k", F.ceil(F.col("m") / (most // 2))).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("k")))
-    met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("b")) * F.col("k") + F.greatest(j, F.col("b")))
-    large = large.withColumn("p", F.explode(met)).withColumn("s", F.xxhash64("s", "p"))
-    rest = rest.filter(F.col("m") <= most).select(COMP).unionByName(large.select(COMP))
-    links = verified(by_bucket(rest).transform(bounded).mapInArrow(_all_pairs, PAIR))
+    # groups by the smaller counts, once each; of these the pairs that all cells leave
+    most, half = BLOCK * BLOCKS, BLOCK * BLOCKS // 2
+    blocks = F.when(F.col("m") > most, F.ceil(F.col("m") / half)).otherwise(1)
+    member = ", ".join(f"{c} long" for c in MEMBER)
+    rest = by_blocks(rest, blocks).select(COMP)
+    groups = by_bucket(rest).transform(bounded).mapInArrow(_groups(SKETCH), member).distinct()
+    counts = classes.select("cls", F.shiftleft(F.col("n").cast("long"), 32).alias("size"), F.coalesce("cells", F.lit(b"\xff" * CELLS)).alias("cells"))
+    groups = by_blocks(written(groups, "near-groups").join(counts, "cls"), blocks).select("s", "size", "cls", "comp", "cells")
+    links = verified(by_bucket(groups).transform(bounded).mapInArrow(_cell_pairs, PAIR))
     for end in ("a", "b"):  # between components of the first links
         links = links.join(joined.select(F.col("cls").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     found = written(components(links), "near-components").withColumnRenamed("component", "_c")

@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from discloq.llm import near, simhash
@@ -80,3 +81,15 @@ def test_sketches_rule_no_similar_pair_out():
     alike = [5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)]
     assert ok[np.array(alike)].all() and sum(alike) >= 5
     assert ok.sum() < len(i) // 2
+
+
+def test_group_of_many_buckets_comes_once():
+    """A group of 90 in 15 buckets: 90 different rows, not the 60075 pairs of all buckets."""
+    m, buckets = 90, 15
+    cls = np.tile(np.arange(m), buckets)
+    sketch = pa.array([b"\x05" * near.SKETCH] * len(cls), pa.binary())
+    cols = [np.repeat(np.arange(buckets), m), np.full(len(cls), 320 << 32), cls, cls]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), sketch], near.COMP)
+    out = pa.Table.from_batches(near._groups(near.SKETCH)(iter([batch])))
+    assert out.num_rows == m * buckets and out.group_by(near.MEMBER).aggregate([]).num_rows == m
+    assert set(out["m"].to_pylist()) == {m}
