@@ -13,7 +13,9 @@ verified on whole sets. Links are searched for in two ways.
 
 Links found first join most of a large group of copies, so that later steps form pairs only
 between texts that aren't joined yet. There a bucket gives groups of rows that may be similar, not
-their pairs; a group that many buckets give is compared once, by more counts.
+their pairs, and groups that share a row become one cluster, so each text is in one cluster at
+most. A cluster's whole sets meet in one task, which gives the links of a spanning forest: no step
+makes the pairs of a group as rows.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ BROADCAST = 1 << 20
 CELLS = 256
 #: Cells of the smaller counts that go with the rows of a bucket.
 SKETCH = 64
+#: Shingles (8 bytes each) of a cluster that are compared at once; one of more is compared by pairs
+#: of blocks.
+SHINGLES = 1 << 22
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -245,18 +250,24 @@ def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _labels(cols: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each row the first of its group: the rows of a bucket that pairs which may be similar
+    join, directly or not."""
+    label = np.arange(len(cols[0]))
+    for i, j in _all_pairs(starts, lengths):
+        label = _merged(label, *_open(cols, i, j))
+    return label
+
+
 def _groups(width: int):
-    """For rows (s, size, cls, comp, counts) sorted by s, counts of ``width`` cells: the rows of a
-    bucket that pairs which may be similar join, directly or not, are a group. Gives (s, m, cls,
-    comp) of each member; s names the group by its m members, so that a group which is found in
-    many buckets is one. A bucket gives no more rows than it has,
+    """For rows (s, size, cls, comp, counts) sorted by s, counts of ``width`` cells: (s, m, cls,
+    comp) of each member of a group; s names the group by its m members, so that a group which is
+    found in many buckets is one. A bucket gives no more rows than it has,
     whatever the number of its pairs. Holds one batch and one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts, lengths in _buckets(batches, width):
-            label = np.arange(len(cols[0]))
-            for i, j in _all_pairs(starts, lengths):
-                label = _merged(label, *_open(cols, i, j))
+            label = _labels(cols, starts, lengths)
             rows = np.nonzero(np.bincount(label)[label] > 1)[0]
             rows = rows[np.lexsort((cols[2][rows], label[rows]))]
             first = np.nonzero(np.diff(label[rows], prepend=-1))[0]
@@ -268,11 +279,56 @@ def _groups(width: int):
     return run
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of rows (s, size, cls, comp, cells) of one s that cells don't rule out."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (s, size, cls, comp, cells) sorted by s: (a, b) of the first of a group by all
+    cells and each other member. A bucket gives fewer rows than it has."""
     for cols, starts, lengths in _buckets(batches, CELLS):
-        for i, j in _all_pairs(starts, lengths):
-            yield _pairs(cols, i, j)
+        label = _labels(cols, starts, lengths)
+        off = np.nonzero(label != np.arange(len(label)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[2][label[off]]), pa.array(cols[2][off])], ["a", "b"])
+
+
+def _spanning(cls: np.ndarray, comp: np.ndarray, sets: list[bytes]) -> tuple[list[int], list[int]]:
+    """Links (a, b) of similar sets that join whatever such links and common components join.
+    A set is compared with those only that nothing has reached, so there are fewer links than
+    sets."""
+    held = [np.frombuffer(x, np.int64) for x in sets]
+    n = np.array([len(x) for x in held])
+    cells = np.stack([np.bincount(x & (CELLS - 1), minlength=CELLS) for x in held])
+    cells = cells.astype(np.min_scalar_type(cells.max()))
+    left, a, b = np.arange(len(held)), [], []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            f = front.pop()
+            same = comp[left] == comp[f]
+            front += left[same].tolist()
+            left = left[~same]
+            i = left[OF * np.minimum(n[left], n[f]) >= LEAST * np.maximum(n[left], n[f])]
+            i = i[(OF + LEAST) * np.minimum(cells[i], cells[f]).sum(1, dtype=np.int64) >= LEAST * (n[i] + n[f])]
+            if not len(i):
+                continue
+            every = np.concatenate([held[k] for k in i])
+            found = held[f][np.minimum(np.searchsorted(held[f], every), n[f] - 1)] == every
+            both = np.add.reduceat(found, np.cumsum(n[i]) - n[i], dtype=np.int64)
+            i = i[OF * both >= LEAST * (n[i] + n[f] - both)]
+            a += [int(cls[f])] * len(i)
+            b += cls[i].tolist()
+            front += i.tolist()
+            left = left[np.isin(left, i, invert=True)]
+    return a, b
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (s, size, cls, comp, set) sorted by s: the links of each s's spanning forest. Holds
+    one batch and one s."""
+    for cols, starts, lengths in _buckets(batches, 0):
+        a, b = [], []
+        for at, m in zip(starts.tolist(), lengths.tolist()):
+            x, y = _spanning(*(c[at : at + m] for c in cols[2:]))
+            a += x
+            b += y
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def by_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -363,7 +419,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     mixed = rest.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s", "m")
     rest = join_hot(rest, written(mixed, "near-mixed"), "s", "m", rest.count(), "inner")
     rest = rest.join(classes.select("cls", "sketch"), "cls")
-    # groups by the smaller counts, once each; of these the pairs that all cells leave
+    # groups by the smaller counts, once each; what all cells leave of them, as clusters
     most, half = BLOCK * BLOCKS, BLOCK * BLOCKS // 2
     blocks = F.when(F.col("m") > most, F.ceil(F.col("m") / half)).otherwise(1)
     member = ", ".join(f"{c} long" for c in MEMBER)
@@ -371,7 +427,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     groups = by_bucket(rest).transform(bounded).mapInArrow(_groups(SKETCH), member).distinct()
     counts = classes.select("cls", F.shiftleft(F.col("n").cast("long"), 32).alias("size"), F.coalesce("cells", F.lit(b"\xff" * CELLS)).alias("cells"))
     groups = by_blocks(written(groups, "near-groups").join(counts, "cls"), blocks).select("s", "size", "cls", "comp", "cells")
-    links = verified(by_bucket(groups).transform(bounded).mapInArrow(_cell_pairs, PAIR))
+    stars = written(by_bucket(groups).transform(bounded).mapInArrow(_stars, PAIR), "near-stars")
+    clusters = written(components(stars).select(F.col("node").alias("cls"), F.col("component").alias("s")), "near-clusters")
+    sizes = classes.join(clusters, "cls").groupBy("s").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    placed = join_hot(clusters, written(sizes, "near-sizes"), "s", "m", clusters.count(), "inner").join(joined, "cls", "left")
+    placed = placed.join(sets_of(clusters.select("cls")), "cls").withColumn("size", F.shiftleft(F.octet_length("set").cast("long"), 29))
+    parts = F.greatest(blocks, F.when(F.col("total") > SHINGLES, F.ceil(F.col("total") / (SHINGLES // 2))).otherwise(1))
+    placed = by_blocks(placed.withColumn("comp", F.coalesce("component", "cls")), parts).select("s", "size", "cls", "comp", "set")
+    links = written(by_bucket(placed).transform(bounded).mapInArrow(_forest, PAIR), "near-links")
     for end in ("a", "b"):  # between components of the first links
         links = links.join(joined.select(F.col("cls").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     found = written(components(links), "near-components").withColumnRenamed("component", "_c")

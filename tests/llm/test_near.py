@@ -93,3 +93,57 @@ def test_group_of_many_buckets_comes_once():
     out = pa.Table.from_batches(near._groups(near.SKETCH)(iter([batch])))
     assert out.num_rows == m * buckets and out.group_by(near.MEMBER).aggregate([]).num_rows == m
     assert set(out["m"].to_pylist()) == {m}
+
+
+def test_group_makes_no_pairs(spark, monkeypatch):
+    """Of 120 texts that are almost similar, by twos similar: 7140 pairs that cells don't rule out,
+    but no table of pairs has more than a few rows a text."""
+    rng, rows, made = random.Random(11), [], []
+    base = [f"w{i}" for i in range(300)]
+    for k in range(60):
+        text = list(base)
+        for at in rng.sample(range(10, 290), 8):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text, f"end{k}"]))]
+    keep = near.written
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        if out.columns == ["a", "b"]:
+            made.append((out.count(), tag))
+        return out
+
+    monkeypatch.setattr(near, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=repr)
+    assert got == survivors(rows) and len(got) <= len(rows) // 2
+    assert made and max(made)[0] <= 8 * len(rows), made
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_forest_joins_what_all_links_join(spark, parts):
+    """Sets of one cluster, whole and by pairs of three blocks, against all pairs: as far as links
+    and common components reach, in fewer links than rows."""
+    rng, sets = np.random.default_rng(7), []
+    for n in (1, 5, 40, 700):
+        for _ in range(5):
+            base = np.unique(rng.integers(-(1 << 62), 1 << 62, n) * (256 if n == 700 else 1))  # 700 in one cell
+            sets += [base, *(np.unique(np.append(base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 62, 1 + n // 40))) for _ in range(6))]
+    m = len(sets)
+    comp = np.where(rng.random(m) < 0.2, 5000 + rng.integers(0, 9, m), np.arange(m))
+
+    def joined(links):
+        root = np.arange(m)
+        for i, j in [*links, *((i, j) for i, j in itertools.combinations(range(m), 2) if comp[i] == comp[j])]:
+            root[root == root[j]] = root[i]
+        return {frozenset(np.nonzero(root == r)[0].tolist()) for r in set(root.tolist())}
+
+    similar = [(i, j) for i, j in itertools.combinations(range(m), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    rows = [(0, len(s) << 32, k, int(comp[k]), s.tobytes()) for k, s in enumerate(sets)]
+    df = near.by_blocks(spark.createDataFrame(rows, "s long, size long, cls long, comp long, set binary"), near.F.lit(parts))
+    links = df.repartition(4, "s").sortWithinPartitions("s", "cls").mapInArrow(near._forest, near.PAIR).collect()
+    assert {tuple(sorted(x)) for x in links} <= set(similar)
+    assert joined(links) == joined(similar) and len(similar) > len(links) and len(links) < parts * m
+    if parts == 1:
+        a, b = near._spanning(np.arange(m), np.arange(m), [s.tobytes() for s in sets])
+        assert len(a) < m and {tuple(sorted(x)) for x in zip(a, b)} <= set(similar)
